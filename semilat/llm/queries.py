@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read
+from .common import durable, read
 
 
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -15,8 +15,38 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), F.lower(F.hex("fp")).alias("fingerprint"), F.col("component").alias("component_id"))
 
 
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .mixing import schedule, taken, word_count
+
+    sized = durable(read(spark, sf_dir, "documents").select("doc_id", "source", word_count(F.col("text")).alias("size")), "sizes")
+    return schedule(sized, "size").select("doc_id", "size", F.col("__mix_size").alias("source_size"), F.col("__mix_target").alias("target"), taken("size").alias("taken"))
+
+
+OP6_SQL = r"""
+with d as (
+  select doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::bigint size, md5(coalesce(doc_id::varchar, '')) k
+  from documents),
+s as (select source, sum(size)::bigint source_size, row_number() over (order by source nulls last) n from d group by source),
+w as (select source, source_size, [3, 1, 2][((n - 1) % 3 + 1)::int]::bigint weight from s),
+r as (select *, source_size * 2 lim, (source_size * 2)::double / weight ratio from w),
+l as (
+  select *, ((sum(source_size) over ())::double * 1.5 - coalesce((sum(lim) over f)::double, 0)) / ((sum(weight) over ()) - coalesce(sum(weight) over f, 0))::double lvl,
+    row_number() over (order by ratio, source nulls last) nth
+  from r window f as (order by ratio, source nulls last rows between unbounded preceding and 1 preceding)),
+a as (select first(lvl order by nth) filter (ratio > lvl) at_level from l),
+t as (select source, source_size, case when at_level is null or ratio <= at_level then lim::double else weight * at_level end target from l, a),
+b as (
+  select d.doc_id, d.size, t.source_size, t.target,
+    coalesce(sum(d.size) over (partition by d.source order by d.k, d.doc_id nulls first, d.size rows between unbounded preceding and 1 preceding), 0)::bigint bef
+  from d join t on d.source is not distinct from t.source)
+select doc_id, size, source_size, target,
+  (greatest(0, least(size, floor(target)::bigint - bef)) + greatest(0, least(size, floor(target)::bigint - source_size - bef)))::bigint taken
+from b
+"""
+
 QUERIES = {
+    "op6_mixing": op6_mixing,
     "op10_simhash": op10_simhash,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op6_mixing": OP6_SQL}
