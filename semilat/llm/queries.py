@@ -8,6 +8,12 @@ from pyspark.sql import functions as F
 from .common import durable, read
 
 
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .packing import packed
+
+    return packed(read(spark, sf_dir, "documents"))
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .simhash import simhash_groups
 
@@ -46,6 +52,7 @@ from b
 
 QUERIES = {
     "op6_mixing": op6_mixing,
+    "op7_packing": op7_packing,
     "op10_simhash": op10_simhash,
 }
 
