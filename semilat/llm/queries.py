@@ -21,6 +21,12 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), F.lower(F.hex("fp")).alias("fingerprint"), F.col("component").alias("component_id"))
 
 
+def op5_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .winnow import edit_report
+
+    return edit_report(read(spark, sf_dir, "documents"))
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .mixing import schedule, taken, word_count
 
@@ -51,6 +57,7 @@ from b
 """
 
 QUERIES = {
+    "op5_winnowing": op5_winnowing,
     "op6_mixing": op6_mixing,
     "op7_packing": op7_packing,
     "op10_simhash": op10_simhash,
