@@ -21,6 +21,12 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), F.lower(F.hex("fp")).alias("fingerprint"), F.col("component").alias("component_id"))
 
 
+def op4_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .ppm import scores
+
+    return scores(read(spark, sf_dir, "documents"))
+
+
 def op5_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .winnow import edit_report
 
@@ -57,6 +63,7 @@ from b
 """
 
 QUERIES = {
+    "op4_ppm": op4_ppm,
     "op5_winnowing": op5_winnowing,
     "op6_mixing": op6_mixing,
     "op7_packing": op7_packing,
