@@ -21,6 +21,13 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), F.lower(F.hex("fp")).alias("fingerprint"), F.col("component").alias("component_id"))
 
 
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .warc import round_trip
+
+    found = round_trip(read(spark, sf_dir, "pages"))
+    return found.select(F.col("id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op4_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .ppm import scores
 
@@ -40,6 +47,17 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return schedule(sized, "size").select("doc_id", "size", F.col("__mix_size").alias("source_size"), F.col("__mix_target").alias("target"), taken("size").alias("taken"))
 
 
+OP2_SQL = """
+with p as (select page_id, coalesce(html, '') h, sha1(coalesce(html, '')) d from pages),
+m as (select d, max(page_id) last from p group by d)
+select page_id, octet_length(encode(h))::bigint payload_bytes,
+  array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    (((('0x' || substr(p.d, (i // 8 * 10 + 1)::int, 10))::bigint >> (35 - 5 * (i % 8))::int) & 31) + 1)::int, 1)), '') payload_digest,
+  case when page_id = last then 'response' else 'revisit' end record_type,
+  case when page_id <> last then last end refers_to
+from p join m on p.d = m.d
+"""
+
 OP6_SQL = r"""
 with d as (
   select doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::bigint size, md5(coalesce(doc_id::varchar, '')) k
@@ -63,6 +81,7 @@ from b
 """
 
 QUERIES = {
+    "op2_warc": op2_warc,
     "op4_ppm": op4_ppm,
     "op5_winnowing": op5_winnowing,
     "op6_mixing": op6_mixing,
@@ -70,4 +89,4 @@ QUERIES = {
     "op10_simhash": op10_simhash,
 }
 
-ORACLES: dict[str, str] = {"op6_mixing": OP6_SQL}
+ORACLES: dict[str, str] = {"op2_warc": OP2_SQL, "op6_mixing": OP6_SQL}
