@@ -28,6 +28,13 @@ def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op3_cap_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .cap_filters import near_vectors
+
+    found = near_vectors(read(spark, sf_dir, "embeddings"))
+    return found.select(F.col("id").alias("vec_id"), "n_links", F.col("component").alias("component_id"), F.equal_null("id", "component").alias("kept"))
+
+
 def op4_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .ppm import scores
 
@@ -82,6 +89,7 @@ from b
 
 QUERIES = {
     "op2_warc": op2_warc,
+    "op3_cap_filters": op3_cap_filters,
     "op4_ppm": op4_ppm,
     "op5_winnowing": op5_winnowing,
     "op6_mixing": op6_mixing,
