@@ -14,6 +14,15 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed(read(spark, sf_dir, "documents"))
 
 
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pii import KINDS, found
+
+    listed = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.element_at(F.array(*map(F.lit, KINDS)), s["kind"] + 1), s["start"], s["end"])), ",")
+    of = lambda k: lambda s: s["kind"] == k
+    counts = [F.size(F.filter("strict", of(k))).cast("long").alias(f"n_{kind}") for k, kind in enumerate(KINDS)]
+    return found(read(spark, sf_dir, "documents")).select("doc_id", *counts, F.sha2(listed("strict"), 256).alias("base_sha256"), listed("spans").alias("spans"))
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .simhash import simhash_groups
 
@@ -94,6 +103,7 @@ QUERIES = {
     "op5_winnowing": op5_winnowing,
     "op6_mixing": op6_mixing,
     "op7_packing": op7_packing,
+    "op8_pii": op8_pii,
     "op10_simhash": op10_simhash,
 }
 
