@@ -30,6 +30,12 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), F.lower(F.hex("fp")).alias("fingerprint"), F.col("component").alias("component_id"))
 
 
+def op1_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .html_extract import extracted
+
+    return extracted(read(spark, sf_dir, "pages"))
+
+
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .warc import round_trip
 
@@ -97,6 +103,7 @@ from b
 """
 
 QUERIES = {
+    "op1_html": op1_html,
     "op2_warc": op2_warc,
     "op3_cap_filters": op3_cap_filters,
     "op4_ppm": op4_ppm,
