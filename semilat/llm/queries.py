@@ -23,6 +23,12 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found(read(spark, sf_dir, "documents")).select("doc_id", *counts, F.sha2(listed("strict"), 256).alias("base_sha256"), listed("spans").alias("spans"))
 
 
+def op9_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .langid import fit, page_languages
+
+    return page_languages(read(spark, sf_dir, "pages"), fit(read(spark, sf_dir, "documents"))).withColumnRenamed("id", "page_id")
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .simhash import simhash_groups
 
@@ -111,6 +117,7 @@ QUERIES = {
     "op6_mixing": op6_mixing,
     "op7_packing": op7_packing,
     "op8_pii": op8_pii,
+    "op9_langid": op9_langid,
     "op10_simhash": op10_simhash,
 }
 
