@@ -29,7 +29,7 @@ from .common import map_batches
 
 PAGES, ROUNDS, SEED = 800, 80, 1
 
-MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S)
+MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*'){0,5000})>|<[!?][^>]*>", re.S)
 ATTRIBUTE = re.compile(r"""([a-zA-Z-]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
 # Kinds of HTML elements.
 SKIPPED = frozenset("script style noscript template title textarea select svg math iframe object canvas audio video".split())

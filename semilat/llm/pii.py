@@ -15,6 +15,8 @@ searched whole, whatever their length.
 
 from __future__ import annotations
 
+import bisect
+import itertools
 import random
 import re
 from functools import lru_cache
@@ -26,18 +28,22 @@ from pyspark.sql import functions as F
 
 from .common import map_batches
 
-# The strict patterns.
-EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
-IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+# The strict patterns. A mail address is found from its mark, and a network address only at the first digit
+# of a run (from a later one it would fail alike), so that a long run without either is not searched from each character.
+LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
+DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
+IP = re.compile(r"(?<![0-9])[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 KINDS = ("email", "ip", "card", "phone")
 
 LONGEST, EXAMPLES, ROUNDS, SEED = 24, 1200, 40, 8
 TOKEN = re.compile(r"[^\W\d_]+|[0-9]+|\s|[^\w\s]|_|\w")
-#: Where candidates can be: a number of seven digits or more with separators, or a spelt mail address.
-ISLAND = re.compile(r"[(+]?[0-9](?:[\x20().-]{0,2}[0-9]){6,}|[\w.+-]+\x20?(?:[\[({]at[\])}]|@)\x20?[\w-]+(?:\x20?(?:[\[({]dot[\])}]|\.)\x20?[\w-]+)+", re.I)
-LOOSE_NUMBER = re.compile(r"[(+]?[0-9](?:[\x20().-]{0,2}[0-9]){6,}")
+#: Where candidates can be: numbers of seven digits or more with separators, and the marks of spelt mail addresses.
+NUMBER = re.compile(r"[(+]?[0-9](?:[\x20().-]{0,2}[0-9]){6,}")
+MARK = re.compile(r"[\[({]at[\])}]|@", re.I)
+LONGEST_LOCAL, LONGEST_MAIL = 64, 320
+LOOSE_NUMBER = re.compile(r"[(+]?[0-9](?:[\x20().-]{0,2}[0-9]){6,19}")
 LOOSE_MAIL = re.compile(r"[\w.+-]+\x20?(?:[\[({]at[\])}]|@)\x20?[\w-]+(?:\x20?(?:[\[({]dot[\])}]|\.)\x20?[\w-]+)+", re.I)
 MORE = re.compile(r"\x20?(?:[\[({]dot[\])}]|\.)\x20?\w", re.I)
 CUES = (("phone", "tel telephone phone call fax mobile cell whatsapp telefon telefono appel"), ("card", "card visa mastercard amex credit carte tarjeta karte"), ("ip", "ip host server address"), ("email", "mail email contact write"))
@@ -54,9 +60,17 @@ def luhn(digits: str) -> bool:
 
 def strict_spans(text: str) -> list[tuple[int, int, int]]:
     """(kind, start, end): leftmost matches of each pattern that pass its check."""
-    out = []
-    if "@" in text:
-        out += [(0, *m.span()) for m in EMAIL.finditer(text)]
+    out, done, mark = [], 0, text.find("@")
+    while mark >= 0:
+        start = mark
+        while start > done and text[start - 1] in LOCAL:
+            start -= 1
+        if start < mark and (m := DOMAIN.match(text, mark + 1)):
+            out.append((0, start, m.end()))
+            done = m.end()
+        else:
+            done = mark + 1
+        mark = text.find("@", done)
     out += [(1, *m.span()) for m in IP.finditer(text) if all(len(p.lstrip("0")) <= 3 and int(p.lstrip("0") or 0) <= 255 for p in m[0].split("."))]
     for m in CARD.finditer(text):
         if m.end() - m.start() >= 16:
@@ -231,13 +245,30 @@ def trained(examples: int = EXAMPLES, rounds: int = ROUNDS, seed: int = SEED) ->
     return Field().fit([example(rng) for _ in range(examples)], rounds)
 
 
+def islands(text: str):
+    """(start, end) of the parts of a text that can hold candidates; they may overlap."""
+    for m in NUMBER.finditer(text):
+        yield m.span()
+    for m in MARK.finditer(text):
+        start = m.start() - (text[m.start() - 1 : m.start()] == " ")
+        least = max(0, start - LONGEST_LOCAL)
+        while start > least and (text[start - 1].isalnum() or text[start - 1] in "_.+-"):
+            start -= 1
+        if found := LOOSE_MAIL.match(text, start, min(len(text), start + LONGEST_MAIL)):
+            yield found.span()
+
+
 def added_spans(text: str, strict: list[tuple[int, int, int]], field: Field) -> list[tuple[int, int, int]]:
-    """Spans that the field finds besides the strict ones, touching none of them."""
-    out = []
-    for m in ISLAND.finditer(text):
-        if not any(s < m.end() and m.start() < e for _, s, e in strict):
-            a, b = max(0, m.start() - 24), min(len(text), m.end() + 8)  # the features look no further
-            out += [(k, s + a, e + a) for k, s, e in field.decode(text[a:b], m.start() - a, m.end() - a)]
+    """Spans that the field finds besides the strict ones, touching none of them nor each other."""
+    out, taken = [], sorted((s, e) for _, s, e in strict)
+    for start, end in islands(text):
+        near = taken[max(0, bisect.bisect_left(taken, (start,)) - 4) :]
+        if any(s < end and start < e for s, e in itertools.takewhile(lambda x: x[0] < end, near)):
+            continue
+        a, b = max(0, start - 24), min(len(text), end + 8)  # the features look no further
+        for k, s, e in field.decode(text[a:b], start - a, end - a):
+            out.append((k, s + a, e + a))
+            bisect.insort(taken, (s + a, e + a))
     return out
 
 
