@@ -1,8 +1,8 @@
 """Language identification by Bayesian fusion of evidence.
 
 Text: byte trigrams of the lower-cased letters, hashed into BUCKETS, with a smoothed multinomial for each language and a
-uniform one for "none of them" (`UNKNOWN`). It is fitted on the driver from at most `train_rows` labelled rows, those with
-the smallest hashes of their id; which rows are scored, and all statistics below, cover all data.
+uniform one for "none of them" (`UNKNOWN`). It is fitted on the driver from about `train_rows` labelled rows, chosen by
+hash; which rows are scored, and all statistics below, cover all data.
 
 Grouped aggregation then sums the rows' text posteriors by declared language, by address suffix, and by host, domain and
 top domain. A declared language or suffix changes the odds by how much its rows' languages differ from all rows'. A host's
@@ -26,12 +26,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable, map_batches
+from .common import drawn, durable, map_batches
 
 UNKNOWN = "und"
 BITS = 15
 BUCKETS = 1 << BITS
 TRAIN_ROWS, TEMPER, SMOOTHING, UNKNOWN_PRIOR, ALPHA = 2000, 0.5, 5.0, 1e-3, 0.02
+#: Against the uniform model this share of a language's trigrams may be any, so that new words don't make a text foreign.
+UNSEEN_SHARE = 0.2
 
 #: Maps ASCII letters to lower case and other ASCII to spaces; bytes of further letters stay.
 LETTERS = bytes(b if 97 <= b <= 122 or b >= 128 else b + 32 if 65 <= b <= 90 else 32 for b in range(256))
@@ -53,24 +55,27 @@ def trigrams(text: str) -> np.ndarray:
 @dataclass
 class Model:
     languages: list[str]
-    table: np.ndarray  # log probability by bucket and language
+    table: np.ndarray  # by bucket: log probability of each language, and of each with UNSEEN_SHARE mixed in
 
     def log_likelihoods(self, text: str) -> np.ndarray | None:
-        """By language, and last of the uniform model; None without letters."""
+        """By language, of the uniform model, and of it as it stands to the best language if new words are allowed for; None without letters."""
         at = trigrams(text)
         if not len(at):
             return None
-        return np.append(self.table[at].sum(axis=0, dtype=np.float64), -len(at) * np.log(BUCKETS))
+        own, mixed = self.table[at].sum(axis=0, dtype=np.float64).reshape(2, -1)
+        uniform = -len(at) * np.log(BUCKETS)
+        return np.append(own, [uniform, uniform + own.max() - mixed.max()])
 
 
 def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", train_rows: int = TRAIN_ROWS) -> Model:
-    drawn = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.xxhash64(id_col).alias("h"))
-    rows = drawn.orderBy("h", "lang").limit(train_rows).select("lang", "text").collect()
+    known = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
+    rows = drawn(known.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text")), train_rows).collect()
     languages = sorted({r["lang"] for r in rows})
     counts = np.full((BUCKETS, len(languages)), ALPHA)
     for r in rows:
         counts[:, languages.index(r["lang"])] += np.bincount(trigrams(r["text"]), minlength=BUCKETS)
-    return Model(languages, np.log(counts / counts.sum(axis=0)).astype(np.float32))
+    share = counts / counts.sum(axis=0)
+    return Model(languages, np.log(np.hstack([share, (1 - UNSEEN_SHARE) * share + UNSEEN_SHARE / BUCKETS])).astype(np.float32))
 
 
 def visible(page: str) -> str:
@@ -90,8 +95,8 @@ def scored(rows: DataFrame, text_col: str, model: Model, reader: Callable[[str],
                 lls.append(None)
                 softs.append(None)
             else:
-                p = np.exp(TEMPER * (ll - ll.max()))
-                lls.append(ll)
+                p = np.exp(TEMPER * (ll[:-1] - ll[:-1].max()))
+                lls.append(np.delete(ll, -2))
                 softs.append((p / p.sum())[:-1])
         kind = pa.list_(pa.float64())
         return pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(lls, kind), pa.array(softs, kind)], [*names, "__ll", "__soft"])
