@@ -52,6 +52,17 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def drawn(rows: DataFrame, count: int) -> DataFrame:
+    """About `count` distinct rows, those whose hash over all columns is small; all distinct rows of a table of up to `count`.
+
+    A bound on the hash, from the number of rows, picks them where they lie: no task sends candidates to the driver.
+    """
+    n = rows.count()
+    if n > count:
+        rows = rows.where(F.xxhash64(*rows.columns) < -(2**63) + 2**64 * count // n)
+    return rows.distinct()
+
+
 def map_batches(df: DataFrame, f: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch] | pa.RecordBatch], schema: T.StructType | str) -> DataFrame:
     """mapInArrow with a function of one batch."""
 

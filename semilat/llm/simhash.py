@@ -3,11 +3,12 @@
 Every document gets a fingerprint: bit i is set if it is set in more than half of the hashes of its word shingles,
 repeats counted. Two fingerprints link if at most `radius` bits differ. All pairs of tiles of fingerprints are
 compared with numpy (exclusive-or, bit count) but for those whose population counts already differ by more than the
-radius. A tile holds fingerprints with the same population counts in each of `PARTS` parts of their bits; the sum of the
-parts' differences is a lower bound of the distance, as the difference of the whole counts is.
+radius. A tile holds fingerprints with like population counts in each of `parts` parts of their bits; the sum of the
+parts' least differences is a lower bound of the distance, as the difference of the whole counts is.
 
-Only distinct fingerprints are compared, so copies cost nothing, and a pair of tiles passes on at most one link for each
-of its rows (a spanning forest), never all pairs.
+Only distinct fingerprints are compared, so copies cost nothing. Each tile is compared with itself first, which gives
+its rows a root; a pair of tiles then passes on a spanning forest of links between roots, so that a large group of near
+copies leaves about one link for each pair of its tiles, never all pairs.
 
 Nulls: a null text is an empty one, whose fingerprint is zero and is compared like any other. A null id takes part as
 a text and never gives its group a name; a group of only such rows has a null component. Repeated rows and ids stay.
@@ -30,6 +31,8 @@ SEED = 42
 CHUNK = 1 << 16
 #: Pairs compared at a time.
 BLOCK = 1 << 20
+#: Parts into which the tiles of a crowded cell are dealt.
+SALTS = 16
 
 
 def shingle_hashes(text: bytes, words: int) -> np.ndarray:
@@ -74,15 +77,22 @@ def fingerprints(docs: DataFrame, id_col: str, text_col: str, words: int, lanes:
     return map_batches(chosen, run, "id long, fp binary")
 
 
-def neighbours(radius: int, parts: int, width: int) -> list[int]:
-    """Steps from a tile's key to those of the tiles within the radius, each unordered pair of tiles once."""
-    reach = range(-radius, radius + 1)
-    steps = (s for s in product(reach, repeat=parts) if sum(map(abs, s)) <= radius and s >= (0,) * parts)
-    return [sum(d * (width + 1) ** (parts - 1 - i) for i, d in enumerate(s)) for s in steps]
+def neighbours(radius: int, parts: int, base: int, bin: int = 1) -> list[int]:
+    """Steps from a tile's key to those of the tiles within the radius, each unordered pair of tiles once.
 
+    Counts whose bins are k > 0 apart differ by (k - 1) * bin + 1 at least.
+    """
+    reach = range(-(radius // bin) - 1, radius // bin + 2)
+    least = lambda s: sum((abs(k) - 1) * bin + 1 for k in s if k)
+    steps = (s for s in product(reach, repeat=parts) if least(s) <= radius and s >= (0,) * parts)
+    return [sum(d * base ** (parts - 1 - i) for i, d in enumerate(s)) for s in steps]
+
+
+def compare(a: np.ndarray, b: np.ndarray, radius: int, same: bool, tops: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Links of a spanning forest between the rows of a and b (numbered on from a's) at most radius bits apart.
 
-def compare(a: np.ndarray, b: np.ndarray, radius: int, same: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Links of a spanning forest between the rows of a and b (numbered on from a's) at most radius bits apart."""
+    tops: a row that stands for each of a's and b's rows, which is linked in its place.
+    """
     n, left, right = len(a), [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     step = max(1, BLOCK // max(1, len(b)))
     half = (a.shape[1] + 1) // 2
@@ -99,6 +109,7 @@ def compare(a: np.ndarray, b: np.ndarray, radius: int, same: bool) -> tuple[np.n
             x, y = x[close], y[close]
         if len(x):
             y = y if same else y + n
+            x, y = (x, y) if tops is None else (tops[x], tops[y])
             top = roots_of(n + (0 if same else len(b)), x, y)
             left.append(top[0])
             right.append(top[1])
@@ -114,39 +125,61 @@ def roots_of(n: int, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return below, top[below]
 
 
+def unpacked(fps: list[bytes], lanes: int) -> np.ndarray:
+    return np.frombuffer(b"".join(fps), ">u8").astype(np.uint64).reshape(len(fps), lanes)
+
+
+def link_batch(left: list[bytes], right: list[bytes]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(left, pa.binary()), pa.array(right, pa.binary())], ["a", "b"])
+
+
 def tile_links(nodes: DataFrame, radius: int, lanes: int, parts: int, tile_rows: int) -> DataFrame:
-    """(a, b): fingerprints linked within the radius, as spanning forests of pairs of tiles.
+    """(a, b): fingerprints linked within the radius, as spanning forests of tiles and of pairs of tiles.
 
-    nodes: distinct (fp). Population counts have at most (64 * lanes / parts + 1) ** parts values, which bounds the
-    table of tile sizes that is broadcast, however many fingerprints there are.
+    nodes: distinct (fp). One part has bins of half the radius, more of them bins of one count. Binned counts have at most
+    (64 * lanes / parts + 1) ** parts values, which bounds the table of tile sizes that is broadcast, however many
+    fingerprints there are. A cell with many tiles is dealt by its tiles' numbers into up to SALTS parts.
     """
-    width = 64 * lanes // parts
-    per = width // 8
-    counts = [sum_bits(F.expr(f"substring(fp, {p * per + 1}, {per})"), per) for p in range(parts)]
+    width, bin = 64 * lanes // parts, max(1, radius // 2) if parts == 1 else 1
+    per, base = width // 8, width // bin + 1
     key = F.lit(0)
-    for c in counts:
-        key = key * (width + 1) + c
+    for p in range(parts):
+        key = key * base + F.floor(sum_bits(F.expr(f"substring(fp, {p * per + 1}, {per})"), per) / bin).cast("int")
     keyed = nodes.select("fp", key.alias("cell"))
-    sizes = keyed.groupBy("cell").agg(F.ceil(F.count("*") / tile_rows).alias("chunks"))
+    sizes = durable(keyed.groupBy("cell").agg(F.ceil(F.count("*") / tile_rows).alias("chunks")), "sizes")
+    salts = min(SALTS, sizes.agg(F.max("chunks")).first()[0] or 1)
     chunked = keyed.join(F.broadcast(sizes), "cell").select("cell", F.expr("pmod(xxhash64(fp), chunks)").alias("chunk"), "fp")
-    tiles = durable(chunked.groupBy("cell", "chunk").agg(F.collect_list("fp").alias("fps")), "tiles")
-    steps = F.explode(F.array(*[F.lit(s) for s in neighbours(radius, parts, width)]))
-    left = tiles.select(F.col("cell").alias("own"), F.col("chunk").alias("own_chunk"), F.col("fps").alias("own_fps"), steps.alias("step")).withColumn("other", F.col("own") + F.col("step"))
-    pairs = left.join(tiles, (F.col("other") == F.col("cell")) & ((F.col("step") != 0) | (F.col("own_chunk") <= F.col("chunk"))))
-    pairs = pairs.select("own_fps", "fps", F.expr("step = 0 and own_chunk = chunk").alias("same"))
-
-    def array(fps) -> np.ndarray:
-        return np.frombuffer(b"".join(fps), ">u8").astype(np.uint64).reshape(len(fps), lanes)
-
-    def run(batch: pa.RecordBatch):
-        for own, other, same in zip(*(batch.column(i) for i in range(3))):
-            own, other, same = own.as_py(), other.as_py(), same.as_py()
-            x, y = compare(array(own), array(other), radius, same)
-            if len(x):
-                every = own if same else own + other
-                yield pa.RecordBatch.from_arrays([pa.array([every[i] for i in x], pa.binary()), pa.array([every[i] for i in y], pa.binary())], ["a", "b"])
 
-    return map_batches(pairs, run, "a binary, b binary")
+    def rooted(batch: pa.RecordBatch) -> pa.RecordBatch:
+        tops = []
+        for fps in batch.column(2):
+            x = unpacked(fps.as_py(), lanes)
+            below, top = compare(x, x, radius, True)
+            own = np.arange(len(x), dtype=np.int32)
+            own[below] = top
+            tops.append(own)
+        return pa.RecordBatch.from_arrays([*batch.columns, pa.array(tops, pa.list_(pa.int32()))], ["cell", "chunk", "fps", "tops"])
+
+    made = chunked.groupBy("cell", "chunk").agg(F.collect_list("fp").alias("fps"))
+    tiles = durable(map_batches(made, rooted, "cell int, chunk long, fps array<binary>, tops array<int>"), "tiles")
+    inner = tiles.select(F.posexplode("tops").alias("at", "top"), "fps").where("at <> top").select(F.get("fps", "at").alias("a"), F.get("fps", "top").alias("b"))
+
+    steps = F.explode(F.array(*[F.lit(s) for s in neighbours(radius, parts, base, bin)]))
+    left = tiles.select(*[F.col(c).alias(f"own_{c}") for c in tiles.columns], steps.alias("step"), F.pmod("chunk", F.lit(salts)).alias("salt")).withColumn("other", F.col("own_cell") + F.col("step"))
+    right = tiles.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
+    pairs = left.join(right, (F.col("other") == F.col("cell")) & (F.col("salt") == F.col("part")) & ((F.col("step") != 0) | (F.col("own_chunk") < F.col("chunk"))))
+
+    def across(batch: pa.RecordBatch):
+        for own, own_tops, other, tops in zip(*(batch.column(i) for i in range(4))):
+            own, other = own.as_py(), other.as_py()
+            rows = np.concatenate([own_tops.values.to_numpy(), tops.values.to_numpy() + len(own)])
+            below, top = compare(unpacked(own, lanes), unpacked(other, lanes), radius, False, rows)
+            if len(below):
+                every = own + other
+                yield link_batch([every[i] for i in below], [every[i] for i in top])
+
+    outer = map_batches(pairs.select("own_fps", "own_tops", "fps", "tops"), across, "a binary, b binary")
+    return inner.union(outer)
 
 
 def sum_bits(binary, size: int):
@@ -175,7 +208,7 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return fps.join(labels, fps.fp == labels.of).select("id", "fp", "component")
 
 
-def near_copies_removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, lanes: int = 4, radius: int = 52, tile_rows: int = 16384) -> DataFrame:
+def near_copies_removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, lanes: int = 4, radius: int = 52, tile_rows: int = 4096) -> DataFrame:
     """docs with one row of each group of near copies: the one with the smallest id.
 
     With 256 bits the share of differing bits is the angle between two documents' shingle sets over pi: a similarity of

@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import durable, map_batches, new_path
+from .common import drawn, durable, map_batches, new_path
 
 # Fixed values of the formats.
 SKIPPABLE = 0x184D2A5D
@@ -152,9 +152,9 @@ def marked(pages: DataFrame, id_col: str, url_col: str, html_col: str, least: in
 
 
 def trained_dictionary(rows: DataFrame, count: int = DICTIONARY_ROWS, size: int = DICTIONARY_BYTES) -> bytes:
-    """A dictionary from `count` payloads of at most 64 KiB, those with the smallest hashes; empty if they are too few."""
-    drawn = rows.where("octet_length(payload) between 8 and 65536").select("payload", F.xxhash64("id").alias("h")).orderBy("h").limit(count)
-    samples = [bytes(r["payload"]) for r in drawn.collect()]
+    """A dictionary from about `count` payloads of at most 64 KiB, chosen by hash; empty if they are too few."""
+    sample = drawn(rows.where("octet_length(payload) between 8 and 65536").select("id", "payload"), count)
+    samples = sorted(bytes(r["payload"]) for r in sample.collect())
     try:
         return zstandard.train_dictionary(size, samples).as_bytes()
     except zstandard.ZstdError:
