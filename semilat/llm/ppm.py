@@ -63,10 +63,12 @@ def total(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 class Trie:
     """Counts by order, from counts of (depth, context and symbol) at the greatest depth that each symbol has."""
 
-    def __init__(self, keys: np.ndarray, counts: np.ndarray, order: int):
+    def __init__(self, keys: np.ndarray, counts: np.ndarray, order: int, low: Trie | None = None):
+        """low: a trie that has the lowest orders, if the counts are only those of some longer contexts."""
         depth, key = keys >> np.uint64(56), keys & np.uint64((1 << 56) - 1)
-        self.order, self.nodes, self.count, self.contexts, self.sums, self.kinds = order, [], [], [], [], []
-        for k in range(order + 1):
+        self.order = order
+        self.nodes, self.count, self.contexts, self.sums, self.kinds = ([*x] for x in (low.nodes, low.count, low.contexts, low.sums, low.kinds)) if low else ([], [], [], [], [])
+        for k in range(len(self.nodes), order + 1):
             at, n = total(key[depth >= k] & np.uint64((1 << 8 * (k + 1)) - 1), counts[depth >= k])
             context, first = np.unique(at >> np.uint64(8), return_index=True)
             self.nodes.append(at)
@@ -74,8 +76,8 @@ class Trie:
             self.contexts.append(context)
             self.sums.append(np.add.reduceat(n, first) if len(n) else n)
             self.kinds.append(np.diff(np.append(first, len(at))))
-        self.rest_sum, self.rest_kinds = [None], [None]  # of a context's suffix, without the context's symbols
-        for k in range(1, order + 1):
+        self.rest_sum, self.rest_kinds = ([*low.rest_sum], [*low.rest_kinds]) if low else ([None], [None])  # of a context's suffix, without the context's symbols
+        for k in range(len(self.rest_sum), order + 1):
             own, suffix = self.contexts[k], self.nodes[k] & np.uint64((1 << 8 * k) - 1)
             shared = self.count[k - 1][np.searchsorted(self.nodes[k - 1], suffix)]
             first = np.searchsorted(self.nodes[k] >> np.uint64(8), own)

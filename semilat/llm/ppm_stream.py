@@ -1,0 +1,192 @@
+"""Prediction by partial matching over whole documents: a counted byte-context table gives each document's log10 probability.
+
+A document is a space, its words (ASCII white space apart, A-Z lower-cased), each followed by one space, then an end
+symbol. A symbol's context is what precedes it in the document, across words, at most `order` bytes. Counting, escapes
+and exclusion are as in ppm.Trie. The order is the same at every size.
+
+Scale: (context, symbol) pairs are counted by grouped aggregation and stay a table. They are dealt by the last LOW bytes
+of the context, so that all longer contexts a symbol can be coded in lie in one part; each part prices its own pairs.
+Orders below LOW are one table for all executors, bounded by the alphabet (SYMBOLS ** LOW pairs) and not by the input. The
+documents' symbols are priced by a broadcast of the at most `hot_pairs` most frequent pairs; all others are joined with
+the priced table, so that the bound changes no result. Words, for base_score and n_known, go the same way by `hot`.
+
+Nulls: as in ppm. Repeated rows count each. Texts are coded whole, whatever their length.
+"""
+
+from __future__ import annotations
+
+from collections import Counter
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .common import durable, texts
+from .ppm import CHUNK, END, HOT, LONGEST_HOT, ORDER, Trie, find, tagged, word_counts
+
+LOW, HOT_PAIRS = 3, 1 << 21
+#: Pairs priced in one part.
+PART = 1 << 20
+DEPTH, HELD = 56, 60
+PAIR = (1 << DEPTH) - 1
+
+
+def framed(words: list[bytes]) -> bytes:
+    return b" ".join([b"", *words, END])
+
+
+def coded(pieces: list[tuple[int, bytes, int]], order: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each symbol of (document, bytes, first symbol to code): its document, and depth, context and symbol as one number."""
+    doc, data, first = zip(*pieces)
+    size = np.fromiter(map(len, data), np.int64, len(data))
+    buf = np.frombuffer(b"".join(data), np.uint8).astype(np.uint64)
+    place = np.arange(len(buf)) - np.repeat(np.cumsum(size) - size, size)
+    key = buf.copy()
+    for k in range(1, min(order, len(buf)) + 1):
+        key[k:] |= np.where(place[k:] >= k, buf[: len(buf) - k] << np.uint64(8 * k), np.uint64(0))
+    own = place >= np.repeat(first, size)
+    return np.repeat(doc, size)[own], tagged(np.minimum(place, order), key)[own]
+
+
+def symbols(frames, order: int):
+    """coded() of all symbols in order, about CHUNK bytes at a time."""
+    held, size = [], 0
+    for doc, frame in enumerate(frames):
+        for at in range(0, len(frame), CHUNK):
+            start = max(0, at - order)
+            held.append((doc, frame[start : at + CHUNK], at - start if at else 1))
+            size += len(held[-1][1])
+            if size >= CHUNK:
+                yield coded(held, order)
+                held, size = [], 0
+    if held:
+        yield coded(held, order)
+
+
+def pair_counts(rows: DataFrame, order: int) -> DataFrame:
+    """rows(text, held_out) to (key, c, seen): a pair's occurrences in training documents and in all."""
+
+    def run(batches):
+        for batch in batches:
+            held = np.array(batch.column("held_out").to_pylist(), np.uint64) << np.uint64(HELD)
+            for doc, key in symbols((framed(t.lower().split()) for t in texts(batch.column("text"))), order):
+                distinct, n = np.unique(key | held[doc], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(distinct.view(np.int64)), pa.array(n.astype(np.int64))], ["key", "n"])
+
+    raw = rows.select("text", "held_out").mapInArrow(run, "key long, n long")
+    one = raw.select(F.expr(f"key & {(1 << HELD) - 1}L").alias("key"), F.expr(f"if(key >= {1 << HELD}L, 0L, n)").alias("c"), F.col("n").alias("seen"))
+    return one.groupBy("key").agg(F.sum("c").alias("c"), F.sum("seen").alias("seen"))
+
+
+def low_trie(pairs: DataFrame, order: int) -> Trie:
+    """The trie of the orders up to `order`, from the counted pairs."""
+    depth = F.least(F.shiftright("key", DEPTH), F.lit(order)).cast("long")
+    node = F.shiftleft(depth, DEPTH).bitwiseOR(F.col("key").bitwiseAND(F.lit((1 << 8 * (order + 1)) - 1)))
+    found = pairs.where("c > 0").groupBy(node.alias("key")).agg(F.sum("c").alias("n")).toArrow()
+    return Trie(found["key"].to_numpy().view(np.uint64), found["n"].to_numpy(), order)
+
+
+def priced_pairs(pairs: DataFrame, order: int, part: int = PART) -> DataFrame:
+    """pairs with cost, the log10 probability of the symbol in its context."""
+    spark = pairs.sparkSession.sparkContext
+    low = spark.broadcast(low_trie(pairs, min(LOW - 1, order)))
+
+    def price(batches):
+        held = list(batches)
+        if not held:
+            return
+        table = pa.Table.from_batches(held)
+        keys, c = table["key"].to_numpy().view(np.uint64), table["c"].to_numpy()
+        cost = Trie(keys[c > 0], c[c > 0], order, low.value).cost((keys >> np.uint64(DEPTH)).astype(np.int64), keys & np.uint64(PAIR))
+        yield from pa.table({"key": table["key"], "seen": table["seen"], "cost": pa.array(cost)}).to_batches(1 << 16)
+
+    n = max(spark.defaultParallelism, pairs.count() // part + 1)
+    suffix = F.shiftright("key", 8).bitwiseAND(F.lit((1 << 8 * LOW) - 1))
+    return pairs.repartition(n, suffix).mapInArrow(price, "key long, seen long, cost double")
+
+
+def frequent(priced: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Keys in order, and costs, of at most `most` pairs: those seen most often."""
+    size = F.floor(F.log2("seen") * 8)
+    least, n = 1 << 20, 0
+    for s, k in sorted(map(tuple, priced.groupBy(size).count().collect()), reverse=True):
+        n += k
+        if n > most:
+            break
+        least = s
+    found = priced.where(size >= least).select("key", "cost").toArrow()
+    keys = found["key"].to_numpy().view(np.uint64)
+    order = np.argsort(keys)
+    return keys[order], found["cost"].to_numpy()[order]
+
+
+def slices(batch: pa.RecordBatch):
+    """Parts of the batch with about CHUNK bytes of text: their ids, words of each text, and held_out."""
+    held, size = [], 0
+    for row in zip(batch.column("id").to_pylist(), texts(batch.column("text")), batch.column("held_out").to_pylist()):
+        held.append(row)
+        size += len(row[1])
+        if size >= CHUNK:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
+
+
+def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 5, held_fold: int = 1, order: int = ORDER, hot: int = HOT, hot_pairs: int = HOT_PAIRS) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of each row.
+
+    Training documents: those whose crc32 of the id as text has another remainder than held_fold by folds.
+    """
+    spark = docs.sparkSession
+    name = F.coalesce(F.col(id_col).cast("string"), F.lit(""))
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), (F.crc32(name) % folds == held_fold).alias("held_out"))
+    counted = durable(word_counts(rows.select("text", "held_out")), "words")
+    n, v = counted.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.when(F.col("c") > 0, 1))).first()
+    based = counted.select("word", (F.col("c") > 0).alias("known"), "seen", F.log10((F.col("c") + 0.5) / F.lit(n + 0.5 * (v + 1))).alias("base"))
+    top = based.where(F.octet_length("word") <= LONGEST_HOT).orderBy(F.desc("seen"), "word").limit(hot).toArrow()
+    words = spark.sparkContext.broadcast(dict(zip(top["word"].to_pylist(), zip(top["known"].to_pylist(), top["base"].to_pylist()))))
+    priced = durable(priced_pairs(durable(pair_counts(rows, order), "pairs"), order), "priced")
+    common = spark.sparkContext.broadcast(frequent(priced, hot_pairs))
+
+    def add_up(batches):
+        get, (keys, costs) = words.value.get, common.value
+        for batch in batches:
+            for held in slices(batch):
+                split = [t.lower().split() for _, t, _ in held]
+                cost, rare_keys, rare_n = np.zeros(len(held)), [], np.zeros(len(held), np.int64)
+                for doc, key in symbols(map(framed, split), order):
+                    hit, at = find(keys, key)
+                    if hit.any():
+                        cost += np.bincount(doc[hit], weights=costs[at[hit]], minlength=len(held))
+                    rare_keys.append(key[~hit])
+                    rare_n += np.bincount(doc[~hit], minlength=len(held))
+                out = []
+                for w in split:
+                    counts = Counter(w)
+                    counts[END] = 1
+                    known, base, rare = 0, 0.0, []
+                    for word, k in counts.items():
+                        if found := get(word):
+                            known += k * found[0]
+                            base += k * found[1]
+                        else:
+                            rare.append({"word": word, "k": k})
+                    out.append((counts.total(), known, base, rare))
+                kinds = (pa.int64(), pa.int64(), pa.float64(), pa.list_(pa.struct([("word", pa.binary()), ("k", pa.int64())])))
+                columns = [pa.array(c, t) for c, t in zip(zip(*out), kinds)]
+                offsets = np.append(0, np.cumsum(rare_n)).astype(np.int32)
+                pairs = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(rare_keys).view(np.int64)))
+                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in held], pa.int64()), pa.array([r[2] for r in held], pa.bool_()), *columns[:3], pa.array(cost), columns[3], pairs], ["doc_id", "held_out", "n_tokens", "known", "base", "cost", "rare", "pairs"])
+
+    schema = "doc_id long, held_out boolean, n_tokens long, known long, base double, cost double, rare array<struct<word: binary, k: long>>, pairs array<long>"
+    summed = durable(rows.mapInArrow(add_up, schema).withColumn("uid", F.monotonically_increasing_id()), "sums")
+    rare = summed.select("uid", F.explode("rare").alias("r")).select("uid", "r.word", "r.k")
+    found = rare.join(based.select("word", F.col("known").alias("is_known"), F.col("base").alias("b")), "word")
+    more = found.groupBy("uid").agg(F.sum(F.when(F.col("is_known"), F.col("k")).otherwise(0)).alias("more_known"), F.sum(F.col("k") * F.col("b")).alias("more_base"))
+    costs = summed.select("uid", F.explode("pairs").alias("key")).join(priced.select("key", F.col("cost").alias("p")), "key").groupBy("uid").agg(F.sum("p").alias("more_cost"))
+    plus = lambda a, b: F.col(a) + F.coalesce(F.col(b), F.lit(0))
+    return summed.drop("rare", "pairs").join(more, "uid", "left").join(costs, "uid", "left").select(
+        "doc_id", "held_out", "n_tokens", plus("known", "more_known").alias("n_known"), F.lit(n).cast("long").alias("train_tokens"), plus("base", "more_base").alias("base_score"), plus("cost", "more_cost").alias("score"),
+    )

@@ -57,7 +57,7 @@ def op3_cap_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .ppm import scores
+    from .ppm_stream import scores
 
     return scores(read(spark, sf_dir, "documents"))
 

@@ -1,0 +1,80 @@
+"""The language model over whole documents against a plain computation."""
+
+import math
+import zlib
+from collections import Counter, defaultdict
+
+import pytest
+
+from semilat.llm import common, ppm, ppm_stream, queries
+
+
+def frame(text):
+    return b" " + b"".join(w + b" " for w in (text or "").encode().lower().split()) + ppm.END
+
+
+def plain_cost(contexts, s, order):
+    total = 0.0
+    for i in range(1, len(s)):
+        excluded, found = set(), False
+        for k in range(min(order, i), -1, -1):
+            seen = contexts.get(s[i - k : i])
+            if seen is None:
+                continue
+            live = {a: n for a, n in seen.items() if a not in excluded}
+            size = sum(live.values()) + len(live)
+            if s[i] in live:
+                total += math.log10(live[s[i]] / size)
+                found = True
+                break
+            if live:
+                total += math.log10(len(live) / size)
+            excluded |= set(seen)
+        if not found:
+            total -= math.log10(ppm.SYMBOLS - len(contexts.get(b"", ())))
+    return total
+
+
+def plain_scores(rows, order=6):
+    contexts = defaultdict(Counter)
+    for i, text in rows:
+        if zlib.crc32(str(i).encode()) % 5 != 1:
+            s = frame(text)
+            for at in range(1, len(s)):
+                for k in range(min(order, at) + 1):
+                    contexts[s[at - k : at]][s[at]] += 1
+    return {i: plain_cost(dict(contexts), frame(text), order) for i, text in rows}
+
+
+@pytest.mark.parametrize("hot_pairs,chunk", [(ppm_stream.HOT_PAIRS, ppm.CHUNK), (50, 1000)])
+def test_scores_whole_documents(spark, sf_dir, hot_pairs, chunk, monkeypatch):
+    monkeypatch.setattr(ppm_stream, "CHUNK", chunk)
+    few = common.read(spark, sf_dir, "documents").orderBy("doc_id").limit(40)
+    want = plain_scores([(r.doc_id, r.text) for r in few.collect()])
+    before = {r.doc_id: r for r in ppm.scores(few).collect()}
+    for r in ppm_stream.scores(few, hot=100, hot_pairs=hot_pairs).collect():
+        assert math.isclose(r.score, want[r.doc_id], rel_tol=1e-9)
+        b = before[r.doc_id]
+        assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (b.held_out, b.n_tokens, b.n_known, b.train_tokens) and math.isclose(r.base_score, b.base_score, rel_tol=1e-9)
+
+
+def test_the_query_sees_the_order_of_words(spark, tmp_path):
+    ids = [i for i in range(200) if zlib.crc32(str(i).encode()) % 5 != 1][:20]
+    held = [i for i in range(200) if zlib.crc32(str(i).encode()) % 5 == 1][:2]
+    rows = [(i, "of the sea and of the land") for i in ids] + [(held[0], "of the sea and of the land"), (held[1], "land the the of of sea and"), (500, None)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r.score for r in queries.op4_ppm(spark, str(tmp_path)).collect()}
+    assert got[held[0]] > got[held[1]] + 3
+    want = plain_scores(rows)
+    assert all(math.isclose(got[i], want[i], rel_tol=1e-9) for i in want)
+
+
+def test_the_order_stays_with_many_pairs(spark, monkeypatch):
+    monkeypatch.setattr(ppm_stream, "PART", 100)
+    monkeypatch.setattr(ppm, "MAX_NODES", 12)
+    rows = [(i, " ".join(f"{(i * 7919 + j * 104729) % 99991:05d}" for j in range(30))) for i in range(40)]
+    want = plain_scores(rows)
+    got = ppm_stream.scores(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert all(math.isclose(r.score, want[r.doc_id], rel_tol=1e-9) for r in got)
+    empty = spark.createDataFrame([], "doc_id long, text string")
+    assert ppm_stream.scores(empty).count() == 0
