@@ -15,8 +15,6 @@ searched whole, whatever their length.
 
 from __future__ import annotations
 
-import bisect
-import itertools
 import random
 import re
 from functools import lru_cache
@@ -134,9 +132,11 @@ class Field:
             out[n] = self.weights[known].sum(axis=0)
         return out
 
-    def decode(self, text: str, start: int, end: int) -> list[tuple[int, int, int]]:
-        """The best segmentation of an island."""
+    def decode(self, text: str, start: int, end: int, taken: bytearray | None = None) -> list[tuple[int, int, int]]:
+        """The best segmentation of an island by candidates that touch no taken (marked) place of the text."""
         n, _, candidates = self.island(text, start, end)
+        if taken is not None:
+            candidates = [c for c in candidates if taken.find(1, c[2], c[3]) < 0]
         if not candidates:
             return []
         score = self.scores(text, candidates)
@@ -260,15 +260,14 @@ def islands(text: str):
 
 def added_spans(text: str, strict: list[tuple[int, int, int]], field: Field) -> list[tuple[int, int, int]]:
     """Spans that the field finds besides the strict ones, touching none of them nor each other."""
-    out, taken = [], sorted((s, e) for _, s, e in strict)
+    out, taken = [], bytearray(len(text))
+    for _, s, e in strict:
+        taken[s:e] = b"\1" * (e - s)
     for start, end in islands(text):
-        near = taken[max(0, bisect.bisect_left(taken, (start,)) - 4) :]
-        if any(s < end and start < e for s, e in itertools.takewhile(lambda x: x[0] < end, near)):
-            continue
         a, b = max(0, start - 24), min(len(text), end + 8)  # the features look no further
-        for k, s, e in field.decode(text[a:b], start - a, end - a):
+        for k, s, e in field.decode(text[a:b], start - a, end - a, taken[a:b]):
             out.append((k, s + a, e + a))
-            bisect.insort(taken, (s + a, e + a))
+            taken[s + a : e + a] = b"\1" * (e - s)
     return out
 
 
