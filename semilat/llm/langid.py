@@ -1,8 +1,9 @@
 """Language identification by Bayesian fusion of evidence.
 
 Text: byte trigrams of the lower-cased letters, hashed into BUCKETS, with a smoothed multinomial for each language and a
-uniform one for "none of them" (`UNKNOWN`). It is fitted on the driver from about `train_rows` labelled rows, chosen by
-hash; which rows are scored, and all statistics below, cover all data.
+uniform one for "none of them" (`UNKNOWN`). Trigrams are counted over all labelled rows by grouped aggregation, so that
+every label is a language at every size; the driver gets at most BUCKETS counts a language. All statistics below cover all
+data, too.
 
 Grouped aggregation then sums the rows' text posteriors by declared language, by address suffix, and by host, domain and
 top domain. A declared language or suffix changes the odds by how much its rows' languages differ from all rows'. A host's
@@ -26,12 +27,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import drawn, durable, map_batches
+from .common import durable, map_batches
 
 UNKNOWN = "und"
 BITS = 15
 BUCKETS = 1 << BITS
-TRAIN_ROWS, TEMPER, SMOOTHING, UNKNOWN_PRIOR, ALPHA = 2000, 0.5, 5.0, 1e-3, 0.02
+#: Languages whose counts a task holds at a time.
+HELD = 64
+TEMPER, SMOOTHING, UNKNOWN_PRIOR, ALPHA = 0.5, 5.0, 1e-3, 0.02
 #: Against the uniform model this share of a language's trigrams may be any, so that new words don't make a text foreign.
 UNSEEN_SHARE = 0.2
 
@@ -67,13 +70,37 @@ class Model:
         return np.append(own, [uniform, uniform + own.max() - mixed.max()])
 
 
-def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", train_rows: int = TRAIN_ROWS) -> Model:
-    known = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    rows = drawn(known.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text")), train_rows).collect()
-    languages = sorted({r["lang"] for r in rows})
+def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Model:
+    def run(batches):
+        held = {}
+        for batch in batches:
+            for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist()):
+                if lang not in held:
+                    if len(held) == HELD:
+                        yield from map(counted, held.items())
+                        held = {}
+                    held[lang] = np.zeros(BUCKETS, np.int64)
+                at = trigrams(text)
+                if len(at) < BUCKETS // 8:
+                    np.add.at(held[lang], at, 1)
+                else:
+                    held[lang] += np.bincount(at, minlength=BUCKETS)
+        yield from map(counted, held.items())
+
+    def counted(of):
+        lang, n = of
+        at = np.append(-1, np.nonzero(n)[0])  # -1: the language itself, even if it has no letters
+        return pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at, pa.int32()), pa.array(np.append(0, n[at[1:]]))], ["lang", "bucket", "n"])
+
+    known = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
+    found = known.mapInArrow(run, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
+    labels = found["lang"].to_pylist()
+    languages = sorted(set(labels))
+    place = {lang: i for i, lang in enumerate(languages)}
     counts = np.full((BUCKETS, len(languages)), ALPHA)
-    for r in rows:
-        counts[:, languages.index(r["lang"])] += np.bincount(trigrams(r["text"]), minlength=BUCKETS)
+    bucket, own = found["bucket"].to_numpy(), np.array([place[x] for x in labels], np.int64)
+    real = bucket >= 0
+    counts[bucket[real], own[real]] += found["n"].to_numpy()[real]
     share = counts / counts.sum(axis=0)
     return Model(languages, np.log(np.hstack([share, (1 - UNSEEN_SHARE) * share + UNSEEN_SHARE / BUCKETS])).astype(np.float32))
 
