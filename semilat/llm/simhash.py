@@ -1,7 +1,7 @@
 """SimHash near-duplicates by a tiled exact comparison.
 
 Every document gets a fingerprint: bit i is set if it is set in more than half of the hashes of its word shingles,
-repeats counted. Two fingerprints link if at most `radius` bits differ. All pairs of tiles of fingerprints are
+repeats counted unless `distinct` is set. Two fingerprints link if at most `radius` bits differ. All pairs of tiles of fingerprints are
 compared with numpy (exclusive-or, bit count) but for those whose population counts already differ by more than the
 radius. A tile holds fingerprints with like population counts in each of `parts` parts of their bits; the sum of the
 parts' least differences is a lower bound of the distance, as the difference of the whole counts is.
@@ -66,11 +66,12 @@ def fingerprint(h: np.ndarray, lanes: int = 1) -> np.ndarray:
     return np.packbits(2 * ones > len(h), bitorder="little").view(np.uint64)
 
 
-def fingerprints(docs: DataFrame, id_col: str, text_col: str, words: int, lanes: int = 1) -> DataFrame:
+def fingerprints(docs: DataFrame, id_col: str, text_col: str, words: int, lanes: int = 1, distinct: bool = False) -> DataFrame:
     """(id, fp): fp holds the lanes as big-endian bytes, so that its hexadecimal form is the fingerprint's."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        fps = [fingerprint(shingle_hashes(t, words), lanes).astype(">u8").tobytes() for t in texts(batch.column(1))]
+        hashes = (shingle_hashes(t, words) for t in texts(batch.column(1)))
+        fps = [fingerprint(np.unique(h) if distinct else h, lanes).astype(">u8").tobytes() for h in hashes]
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.binary())], ["id", "fp"])
 
     chosen = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
@@ -191,14 +192,15 @@ def sum_bits(binary, size: int):
     return total
 
 
-def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, radius: int = 3, lanes: int = 1, tile_rows: int = 4096) -> DataFrame:
+def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, radius: int = 3, lanes: int = 1, tile_rows: int = 4096, distinct: bool = False) -> DataFrame:
     """(id, fp, component): each row's fingerprint and the smallest id reachable over links, its own included.
 
     words: words of a shingle. lanes: words of 64 bits of a fingerprint. radius: most bits by which linked ones differ.
+    distinct: repeats of a shingle count once.
     Few bits let tiles be cut by the counts of four parts; a radius beyond a part's spread leaves one part.
     """
     parts = 4 if radius <= 4 * lanes else 1
-    fps = durable(fingerprints(docs, id_col, text_col, words, lanes), "fps")
+    fps = durable(fingerprints(docs, id_col, text_col, words, lanes, distinct), "fps")
     reps = durable(fps.groupBy("fp").agg(F.min("id").alias("rep")), "reps")
     links = durable(tile_links(reps.select("fp"), radius, lanes, parts, tile_rows), "links")
     named = reps.where("rep is not null")
@@ -215,7 +217,7 @@ def near_copies_removed(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     0.8 means 39 bits on average (standard deviation 6), and two unrelated documents differ in 128 (8). Rows with the
     same id and text leave one row; rows with a null id stay.
     """
-    groups = simhash_groups(docs, id_col, text_col, words, radius, lanes, tile_rows)
+    groups = simhash_groups(docs, id_col, text_col, words, radius, lanes, tile_rows, distinct=True)
     keep = groups.where("id = component").select(F.col("id").alias("__keep")).distinct()
     known = docs.where(F.col(id_col).isNotNull())
     kept = known.join(keep, known[id_col].cast("long") == keep["__keep"], "left_semi").dropDuplicates([id_col])
