@@ -1,51 +1,44 @@
-"""Prediction by partial matching: a pretrained byte-context trie gives each document's log10 probability.
+"""Prediction by partial matching: a pretrained byte-context table gives each document's log10 probability.
 
-A document is its words (ASCII white space apart, A-Z lower-cased), each followed by one space, then an end symbol. A
-symbol's context is what precedes it of its own word and the space before, at most `order` bytes. The trie counts the
-symbols seen in each context, over all training documents. A symbol is coded in its longest known context; where it was
-never seen there, an escape is coded (method C: as often as the context has distinct symbols) and the context is cut by
-its first byte, all symbols of the longer context being excluded from the counts; after the empty context, the symbols
-never seen are equally likely. Since contexts end at a word's start, a word costs the same wherever it stands: the trie
-is counted from the table of distinct words with their counts, and each distinct word is coded once.
+A document is its bytes, with A-Z in lower case and white space as it stands, and an end symbol. A symbol's context is
+what precedes it in the document, at most `order` bytes. The table counts the symbols seen in each context over all
+training documents. A symbol is coded in its longest known context; where it was never seen there, an escape is coded
+(method C: as often as the context has distinct symbols) and the context is cut by its first byte, all symbols of the
+longer context being excluded from the counts; after the empty context, the symbols never seen are equally likely. The
+order is the same at every size.
 
-Scale: words are counted by grouped aggregation. Two tables go to all executors, both bounded by parameters: the trie
-(the deepest of the orders up to `order` that has at most `max_nodes` nodes) and the `hot` most frequent words of at
-most LONGEST_HOT bytes with their costs. Occurrences of all other words are joined with the table of words.
+Scale: (context, symbol) pairs are counted by grouped aggregation and stay a table. They are dealt by the last LOW bytes
+of the context, so that all longer contexts a symbol can be coded in lie in one part; each part prices its own pairs.
+Orders below LOW are one table for all executors, bounded by the alphabet (SYMBOLS ** LOW pairs) and not by the input. The
+documents' symbols are priced by a broadcast of the at most `hot_pairs` most frequent pairs; all others are joined with
+the priced table, so that the bound changes no result. Words, for base_score and n_known, go the same way by `hot`.
 
 Nulls: a null text is an empty one, which has the end symbol only; a null id counts as an empty one, which is a training
-row. Repeated rows count each. With no training document every word is unknown and all symbols are equally likely.
+row. Repeated rows count each. Texts are coded whole, whatever their length. With no training document every word is
+unknown and all symbols are equally likely.
 """
 
 from __future__ import annotations
 
-from collections import Counter
-
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable, map_batches, texts
+from .common import durable, forget, map_batches, texts
 
-ORDER, MAX_NODES, HOT, LONGEST_HOT = 6, 1 << 21, 1 << 18, 40
-#: The end of a text, as a token; no word can be it.
-END = b"\n"
-SYMBOLS = 257
-#: Bytes of words handled at a time.
+ORDER, HOT, LONGEST_HOT = 6, 1 << 18, 40
+LOW, HOT_PAIRS = 3, 1 << 21
+#: The end of a text, as a symbol and as a token: a byte that UTF-8 never holds, so that all bytes and it are SYMBOLS.
+END = b"\xff"
+SYMBOLS = 256
+#: Bytes of texts, or symbols, handled at a time.
 CHUNK = 1 << 21
-
-
-def grams(words: list[bytes], order: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For each symbol of the words: its context's length, context and symbol as one number, and its word's index."""
-    framed = [b" " + w if w == END else b" " + w + b" " for w in words]
-    size = np.fromiter(map(len, framed), np.int64, len(framed))
-    buf = np.frombuffer(b"".join(framed), np.uint8).astype(np.uint64)
-    place = np.arange(len(buf)) - np.repeat(np.cumsum(size) - size, size)
-    key = buf.copy()
-    for k in range(1, order + 1):
-        key[k:] |= np.where(place[k:] >= k, buf[: len(buf) - k] << np.uint64(8 * k), np.uint64(0))
-    coded = place > 0
-    return np.minimum(place, order)[coded], key[coded], np.repeat(np.arange(len(framed)), size)[coded]
+#: Pairs priced in one part.
+PART = 1 << 20
+DEPTH, HELD = 56, 60
+PAIR = (1 << DEPTH) - 1
 
 
 def tagged(depth: np.ndarray, key: np.ndarray) -> np.ndarray:
@@ -110,13 +103,6 @@ class Trie:
         out[todo] -= np.log10(max(1, SYMBOLS - len(self.nodes[0])))
         return out
 
-    def words(self, words: list[bytes]) -> np.ndarray:
-        """log10 probability of each word."""
-        depth, key, word = grams(words, self.order)
-        distinct, at = np.unique(tagged(depth, key), return_inverse=True)
-        cost = self.cost((distinct >> np.uint64(56)).astype(np.int64), distinct & np.uint64((1 << 56) - 1))
-        return np.bincount(word, weights=cost[at], minlength=len(words))
-
 
 def find(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     if not len(keys):
@@ -125,53 +111,189 @@ def find(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return keys[at] == wanted, at
 
 
-def word_counts(docs: DataFrame) -> DataFrame:
-    """docs(id, text, held_out) to (word, c, seen): occurrences in training documents and in all."""
+def words_of(column: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The words of the texts with A-Z in lower case, and the row that each stands in."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(column.cast(pa.large_string()).fill_null("")))
+    words, row = lists.flatten(), np.repeat(np.arange(len(lists)), pc.list_value_length(lists).to_numpy())
+    full = pc.greater(pc.binary_length(words), 0)
+    return words.filter(full).cast(pa.large_binary()).cast(pa.binary()), row[full.to_numpy(zero_copy_only=False)]
+
+
+def word_counts(rows: DataFrame) -> DataFrame:
+    """rows(text, held_out) to (word, c, seen): occurrences in training documents and in all."""
+
+    def run(batch: pa.RecordBatch):
+        for part in slices(batch, 8 * CHUNK):
+            for held in (False, True):
+                texts_ = part.column("text").filter(pc.equal(part.column("held_out"), held))
+                if len(texts_):
+                    found = words_of(texts_)[0].value_counts()
+                    words, n = pa.concat_arrays([found.field("values"), pa.array([END], pa.binary())]), np.append(found.field("counts").to_numpy(), len(texts_))
+                    yield pa.RecordBatch.from_arrays([words, pa.array(n * (not held)), pa.array(n)], ["word", "c", "seen"])
+
+    return map_batches(rows.select("text", "held_out"), run, "word binary, c long, seen long").groupBy("word").agg(F.sum("c").alias("c"), F.sum("seen").alias("seen"))
+
 
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        train, held = Counter(), Counter()
-        for text, out in zip(texts(batch.column("text")), batch.column("held_out").to_pylist()):
-            counts = held if out else train
-            counts.update(text.lower().split())
-            counts[END] += 1
-        words = list(train.keys() | held.keys())
-        c = [train[w] for w in words]
-        return pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array(c, pa.int64()), pa.array([n + held[w] for n, w in zip(c, words)], pa.int64())], ["word", "c", "seen"])
+def slices(batch: pa.RecordBatch, size: int = 0):
+    """Parts of the batch with about `size` (CHUNK) bytes of text."""
+    sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False))
+    at = 0
+    while at < len(sizes):
+        end = min(len(sizes), int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + (size or CHUNK))) + 1)
+        yield batch.slice(at, end - at)
+        at = end
 
-    return map_batches(docs, run, "word binary, c long, seen long").groupBy("word").agg(F.sum("c").alias("c"), F.sum("seen").alias("seen"))
 
+def framed(text: bytes) -> bytes:
+    return text.lower() + END
 
-def chunks(batches, *names: str):
-    """The columns of the batches as lists, gathered up to CHUNK bytes of words."""
+
+def coded(pieces: list[tuple[int, bytes, int]], order: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each symbol of (document, bytes, first symbol to code): its document, and depth, context and symbol as one number."""
+    doc, data, first = zip(*pieces)
+    size = np.fromiter(map(len, data), np.int64, len(data))
+    buf = np.frombuffer(b"".join(data), np.uint8).astype(np.uint64)
+    starts = np.cumsum(size) - size
+    place = np.arange(len(buf)) - np.repeat(starts, size)
+    key = buf.copy()
+    for k in range(1, min(order, len(buf) - 1) + 1):
+        key[k:] |= buf[:-k] << np.uint64(8 * k)
+    depth = np.minimum(place, order)
+    young = np.nonzero(place < order)[0]  # their context begins with the text
+    key[young] &= (np.uint64(1) << (np.uint64(8) * (place[young] + 1).astype(np.uint64))) - np.uint64(1)
+    every = np.repeat(doc, size)
+    if any(first):
+        own = place >= np.repeat(first, size)
+        return every[own], tagged(depth, key)[own]
+    return every, tagged(depth, key)
+
+
+def symbols(frames, order: int):
+    """coded() of all symbols in order, about CHUNK bytes at a time."""
     held, size = [], 0
-    for batch in batches:
-        columns = [batch.column(n).to_pylist() for n in names]
-        held.append(columns)
-        size += sum(map(len, columns[0]))
-        if size >= CHUNK:
-            yield [sum(c, []) for c in zip(*held)]
-            held, size = [], 0
+    for doc, frame in enumerate(frames):
+        for at in range(0, len(frame), CHUNK):
+            start = max(0, at - order)
+            held.append((doc, frame[start : at + CHUNK], at - start))
+            size += len(held[-1][1])
+            if size >= CHUNK:
+                yield coded(held, order)
+                held, size = [], 0
     if held:
-        yield [sum(c, []) for c in zip(*held)]
+        yield coded(held, order)
+
+
+def pair_counts(rows: DataFrame, order: int) -> DataFrame:
+    """rows(text, held_out) to (key, c, seen): a pair's occurrences in training documents and in all."""
+
+    def out(distinct, n):
+        return pa.RecordBatch.from_arrays([pa.array(distinct.view(np.int64)), pa.array(n)], ["key", "n"])
 
+    def run(batches):
+        kept = (np.zeros(0, np.uint64), np.zeros(0, np.int64))  # pairs of several chunks are summed here before they leave
+        for batch in batches:
+            held = np.array(batch.column("held_out").to_pylist(), np.uint64) << np.uint64(HELD)
+            for doc, key in symbols(map(framed, texts(batch.column("text"))), order):
+                distinct, n = np.unique(key | held[doc], return_counts=True)
+                kept = total(np.concatenate([kept[0], distinct]), np.concatenate([kept[1], n]))
+                if len(kept[0]) >= CHUNK:
+                    yield out(*kept)
+                    kept = (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+        if len(kept[0]):
+            yield out(*kept)
 
-def trained(words: DataFrame, order: int, max_nodes: int) -> Trie:
-    """The trie of the words' training counts, of the greatest order whose nodes are at most max_nodes."""
-    for k in range(order, -1, -1):
+    raw = rows.select("text", "held_out").mapInArrow(run, "key long, n long")
+    one = raw.select(F.expr(f"key & {(1 << HELD) - 1}L").alias("key"), F.expr(f"if(key >= {1 << HELD}L, 0L, n)").alias("c"), F.col("n").alias("seen"))
+    return one.groupBy("key").agg(F.sum("c").alias("c"), F.sum("seen").alias("seen"))
 
-        def run(batches, k=k):
-            for word, c in chunks(batches, "word", "c"):
-                depth, key, at = grams(word, k)
-                keys, counts = total(tagged(depth, key), np.array(c, np.int64)[at])
-                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(counts)], ["key", "n"])
 
-        counted = durable(words.where("c > 0").select("word", "c").mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")), "trie")
-        if k == 0 or counted.count() <= max_nodes:
-            found = counted.toArrow()
-            return Trie(found["key"].to_numpy().view(np.uint64), found["n"].to_numpy(), k)
+def low_trie(pairs: DataFrame, order: int) -> Trie:
+    """The trie of the orders up to `order`, from the counted pairs."""
+    depth = F.least(F.shiftright("key", DEPTH), F.lit(order)).cast("long")
+    node = F.shiftleft(depth, DEPTH).bitwiseOR(F.col("key").bitwiseAND(F.lit((1 << 8 * (order + 1)) - 1)))
+    found = pairs.where("c > 0").groupBy(node.alias("key")).agg(F.sum("c").alias("n")).toArrow()
+    return Trie(found["key"].to_numpy().view(np.uint64), found["n"].to_numpy(), order)
 
 
-def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 5, held_fold: int = 1, order: int = ORDER, max_nodes: int = MAX_NODES, hot: int = HOT) -> DataFrame:
+def priced_pairs(pairs: DataFrame, order: int) -> DataFrame:
+    """pairs with cost, the log10 probability of the symbol in its context."""
+    spark = pairs.sparkSession.sparkContext
+    low = spark.broadcast(low_trie(pairs, min(LOW - 1, order)))
+
+    def price(batches):
+        held = list(batches)
+        if not held:
+            return
+        table = pa.Table.from_batches(held)
+        keys, c = table["key"].to_numpy().view(np.uint64), table["c"].to_numpy()
+        cost = Trie(keys[c > 0], c[c > 0], order, low.value).cost((keys >> np.uint64(DEPTH)).astype(np.int64), keys & np.uint64(PAIR))
+        yield from pa.table({"key": table["key"], "seen": table["seen"], "cost": pa.array(cost)}).to_batches(1 << 16)
+
+    n = max(spark.defaultParallelism, pairs.count() // PART + 1)
+    suffix = F.shiftright("key", 8).bitwiseAND(F.lit((1 << 8 * LOW) - 1))
+    return pairs.repartition(n, suffix).mapInArrow(price, "key long, seen long, cost double")
+
+
+def frequent(counted: DataFrame, most: int, *columns: str):
+    """At most `most` rows with the greatest `seen`, all of whose eighth part of an octave are among them, as an Arrow table."""
+    size = F.floor(F.log2("seen") * 8)
+    least, n = 1 << 20, 0
+    for s, k in sorted(map(tuple, counted.groupBy(size).count().collect()), reverse=True):
+        n += k
+        if n > most:
+            break
+        least = s
+    return counted.where(size >= least).select(*columns).toArrow()
+
+
+class Costs:
+    """Costs by pair, in an open hash table that each worker lays out once."""
+
+    FREE = np.uint64(2**64 - 1)
+
+    def __init__(self, keys: np.ndarray, costs: np.ndarray):
+        self.keys, self.costs, self.table = keys, costs, None
+
+    def __getstate__(self):
+        return {"keys": self.keys, "costs": self.costs, "table": None}
+
+    def place(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def laid_out(self) -> tuple[np.ndarray, np.ndarray]:
+        if self.table is None:
+            self.bits = max(4, (2 * len(self.keys)).bit_length())
+            slot, cost = np.full(1 << self.bits, self.FREE), np.zeros(1 << self.bits)
+            todo, at = np.arange(len(self.keys)), self.place(self.keys)
+            while len(todo):
+                free = slot[at] == self.FREE
+                slot[at[free]] = self.keys[todo[free]]
+                own = slot[at] == self.keys[todo]
+                cost[at[own]] = self.costs[todo[own]]
+                todo, at = todo[~own], (at[~own] + 1) & ((1 << self.bits) - 1)
+            self.table = slot, cost
+        return self.table
+
+    def find(self, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Whether each pair is here, and its cost or else 0."""
+        slot, cost = self.laid_out()
+        at = self.place(wanted)
+        there = slot[at]
+        hit = there == wanted
+        out = np.where(hit, cost[at], 0.0)
+        todo = np.nonzero(~hit & (there != self.FREE))[0]
+        at = at[todo]
+        while len(todo):
+            at = (at + 1) & (len(slot) - 1)
+            there = slot[at]
+            own = there == wanted[todo]
+            hit[todo[own]], out[todo[own]] = True, cost[at[own]]
+            more = ~own & (there != self.FREE)
+            todo, at = todo[more], at[more]
+        return hit, out
+
+
+def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 5, held_fold: int = 1, order: int = ORDER, hot: int = HOT, hot_pairs: int = HOT_PAIRS) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of each row.
 
     Training documents: those whose crc32 of the id as text has another remainder than held_fold by folds.
@@ -181,43 +303,49 @@ def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fold
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), (F.crc32(name) % folds == held_fold).alias("held_out"))
     counted = durable(word_counts(rows.select("text", "held_out")), "words")
     n, v = counted.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.when(F.col("c") > 0, 1))).first()
-    trie = spark.sparkContext.broadcast(trained(counted, order, max_nodes))
-    scale = n + 0.5 * (v + 1)
-
-    def price(batches):
-        for word, c, seen in chunks(batches, "word", "c", "seen"):
-            c = np.array(c, np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(word, pa.binary()), pa.array(c > 0), pa.array(seen, pa.int64()), pa.array(np.log10((c + 0.5) / scale)), pa.array(trie.value.words(word))], ["word", "known", "seen", "base", "cost"])
-
-    priced = durable(counted.mapInArrow(price, "word binary, known boolean, seen long, base double, cost double"), "words")
-    top = priced.where(F.octet_length("word") <= LONGEST_HOT).orderBy(F.desc("seen"), "word").limit(hot).toArrow()
-    table = dict(zip(top["word"].to_pylist(), zip(top["known"].to_pylist(), top["base"].to_pylist(), top["cost"].to_pylist())))
-    common = spark.sparkContext.broadcast(table)
-
-    def add_up(batch: pa.RecordBatch) -> pa.RecordBatch:
-        get, out = common.value.get, []
-        for doc, text, held in zip(batch.column("id").to_pylist(), texts(batch.column("text")), batch.column("held_out").to_pylist()):
-            counts = Counter(text.lower().split())
-            counts[END] = 1
-            known, base, cost, rare = 0, 0.0, 0.0, []
-            for word, k in counts.items():
-                if found := get(word):
-                    known += k * found[0]
-                    base += k * found[1]
-                    cost += k * found[2]
-                else:
-                    rare.append({"word": word, "k": k})
-            out.append((doc, held, counts.total(), known, base, cost, rare))
-        kinds = (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.struct([("word", pa.binary()), ("k", pa.int64())])))
-        columns = [pa.array(c, t) for c, t in zip(zip(*out) if out else [()] * 7, kinds)]
-        return pa.RecordBatch.from_arrays(columns, ["doc_id", "held_out", "n_tokens", "known", "base", "cost", "rare"])
-
-    schema = "doc_id long, held_out boolean, n_tokens long, known long, base double, cost double, rare array<struct<word: binary, k: long>>"
+    based = counted.select("word", (F.col("c") > 0).alias("known"), "seen", F.log10((F.col("c") + 0.5) / F.lit(n + 0.5 * (v + 1))).alias("base"))
+    top = frequent(based.where(F.octet_length("word") <= LONGEST_HOT), hot, "word", "known", "base")
+    words = spark.sparkContext.broadcast((top["word"].combine_chunks().cast(pa.binary()), np.append(top["known"].to_numpy(), False).astype(np.int64), np.append(top["base"].to_numpy(), 0.0)))
+    pairs = durable(pair_counts(rows, order), "pairs")
+    priced = durable(priced_pairs(pairs, order), "priced")
+    forget(pairs)
+    top = frequent(priced, hot_pairs, "key", "cost")
+    common = spark.sparkContext.broadcast(Costs(top["key"].to_numpy().view(np.uint64), top["cost"].to_numpy()))
+
+    def add_up(batch: pa.RecordBatch):
+        (top_words, top_known, top_base), costs = words.value, common.value
+        for part in slices(batch):
+            n = len(part)
+            add = lambda row, x: np.bincount(row, weights=x, minlength=n)
+            cost, rare_keys, rare_n = np.zeros(n), [], np.zeros(n, np.int64)
+            for doc, key in symbols(map(framed, texts(part.column("text"))), order):
+                hit, own = costs.find(key)
+                cost += add(doc, own)
+                rare_keys.append(key[~hit])
+                rare_n += np.bincount(doc[~hit], minlength=n)
+            word, row = words_of(part.column("text"))
+            word, row = pa.concat_arrays([word, pa.array([END] * n, pa.binary())]), np.append(row, np.arange(n))
+            order_ = np.argsort(row, kind="stable")
+            word, row = word.take(pa.array(order_)), row[order_]
+            at = pc.index_in(word, value_set=top_words)
+            rare = at.is_null().to_numpy(zero_copy_only=False)
+            at = pc.fill_null(at, len(top_base) - 1).to_numpy()
+            listed = lambda counts, values: pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(counts)).astype(np.int32)), values)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    part.column("id"), part.column("held_out"), pa.array(np.bincount(row, minlength=n)), pa.array(add(row, top_known[at]).astype(np.int64)), pa.array(add(row, top_base[at])), pa.array(cost),
+                    listed(np.bincount(row[rare], minlength=n), word.filter(pa.array(rare))), listed(rare_n, pa.array(np.concatenate(rare_keys).view(np.int64))),
+                ],
+                ["doc_id", "held_out", "n_tokens", "known", "base", "cost", "rare", "pairs"],
+            )
+
+    schema = "doc_id long, held_out boolean, n_tokens long, known long, base double, cost double, rare array<binary>, pairs array<long>"
     summed = durable(map_batches(rows, add_up, schema).withColumn("uid", F.monotonically_increasing_id()), "sums")
-    rare = summed.select("uid", F.explode("rare").alias("r")).select("uid", "r.word", "r.k")
-    found = rare.join(priced.select("word", F.col("known").alias("is_known"), F.col("base").alias("b"), F.col("cost").alias("p")), "word")
-    more = found.groupBy("uid").agg(F.sum(F.when(F.col("is_known"), F.col("k")).otherwise(0)).alias("more_known"), F.sum(F.col("k") * F.col("b")).alias("more_base"), F.sum(F.col("k") * F.col("p")).alias("more_cost"))
+    rare = summed.select("uid", F.explode("rare").alias("word"))
+    found = rare.join(based.select("word", "known", "base"), "word")
+    more = found.groupBy("uid").agg(F.count_if("known").alias("more_known"), F.sum("base").alias("more_base"))
+    costs = summed.select("uid", F.explode("pairs").alias("key")).join(priced.select("key", F.col("cost").alias("p")), "key").groupBy("uid").agg(F.sum("p").alias("more_cost"))
     plus = lambda a, b: F.col(a) + F.coalesce(F.col(b), F.lit(0))
-    return summed.drop("rare").join(more, "uid", "left").select(
+    return summed.drop("rare", "pairs").join(more, "uid", "left").join(costs, "uid", "left").select(
         "doc_id", "held_out", "n_tokens", plus("known", "more_known").alias("n_known"), F.lit(n).cast("long").alias("train_tokens"), plus("base", "more_base").alias("base_score"), plus("cost", "more_cost").alias("score"),
     )

@@ -195,70 +195,7 @@ def test_caps_find_pairs_at_the_threshold():
     assert (cap_filters.list_decode(few, 32, 20) == best).all()
 
 
-# 4. Language model
-
-
-def slow_costs(train, words, order):
-    contexts = defaultdict(Counter)
-    framed = lambda w: b" " + w if w == ppm.END else b" " + w + b" "
-    for w, c in train.items():
-        s = framed(w)
-        for i in range(1, len(s)):
-            for k in range(min(order, i) + 1):
-                contexts[s[i - k : i]][s[i]] += c
-    out = []
-    for w in words:
-        s, total = framed(w), 0.0
-        for i in range(1, len(s)):
-            excluded, found = set(), False
-            for k in range(min(order, i), -1, -1):
-                seen = contexts.get(s[i - k : i])
-                if seen is None:
-                    continue
-                live = {a: n for a, n in seen.items() if a not in excluded}
-                size = sum(live.values()) + len(live)
-                if s[i] in live:
-                    total += math.log10(live[s[i]] / size)
-                    found = True
-                    break
-                if live:
-                    total += math.log10(len(live) / size)
-                excluded |= set(seen)
-            if not found:
-                total -= math.log10(ppm.SYMBOLS - len(contexts[b""]))
-        out.append(total)
-    return out
-
-
-@pytest.mark.parametrize("hot", [ppm.HOT, 20])
-def test_scores_against_plain_model(spark, docs, hot):
-    few = docs.orderBy("doc_id").limit(60)
-    rows = [(r.doc_id, (r.text or "").encode().lower().split() + [ppm.END]) for r in few.collect()]
-    train = Counter()
-    for i, w in rows:
-        if zlib.crc32(str(i).encode()) % 5 != 1:
-            train.update(w)
-    n, v = sum(train.values()), len(train)
-    every = sorted({x for _, w in rows for x in w})
-    cost = dict(zip(every, slow_costs(train, every, ppm.ORDER)))
-    got = {r.doc_id: r for r in ppm.scores(few, hot=hot).collect()}
-    for i, w in rows:
-        r = got[i]
-        assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (zlib.crc32(str(i).encode()) % 5 == 1, len(w), sum(x in train for x in w), n)
-        assert math.isclose(r.base_score, sum(math.log10((train[x] + 0.5) / (n + 0.5 * (v + 1))) for x in w), rel_tol=1e-9)
-        assert math.isclose(r.score, sum(cost[x] for x in w), rel_tol=1e-9)
-
-
-def test_model_is_a_distribution():
-    words = [b"ab", b"abc", b"b", ppm.END]
-    depth, key, at = ppm.grams(words, 3)
-    trie = ppm.Trie(*ppm.total(ppm.tagged(depth, key), np.array([5, 2, 1, 3])[at]), 3)
-    for context in (b" ", b" a", b" ab", b" abx", b" zz"):
-        k = min(3, len(context))
-        keys = np.array([sum(c << 8 * (j + 1) for j, c in enumerate(reversed(context[-k:]))) | s for s in range(256)], np.uint64)
-        seen = 10 ** trie.cost(np.full(256, k), keys)
-        unseen = (ppm.SYMBOLS - 256) * seen[255]  # the symbol that is no byte has the same chance as any never seen
-        assert math.isclose(seen.sum() + unseen, 1, rel_tol=1e-9)
+# 4. Language model (its costs: test_ppm.py)
 
 
 def test_scores_edges(odd, spark):
@@ -268,7 +205,6 @@ def test_scores_edges(odd, spark):
     assert ppm.scores(odd.limit(0)).count() == 0
     alone = spark.createDataFrame([(i, "a b") for i in range(50) if zlib.crc32(str(i).encode()) % 5 == 1], "doc_id long, text string")
     assert all(r.n_known == 0 and r.train_tokens == 0 and r.score < 0 for r in ppm.scores(alone).collect())
-    assert ppm.trained(ppm.word_counts(odd.select("text", F.lit(False).alias("held_out"))), 6, 12).order < 6
 
 
 # 5. Winnowing
