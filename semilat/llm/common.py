@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -19,11 +19,11 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share; one is set only where the session has none."""
-    conf = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    found = conf or spark.sparkContext.getCheckpointDir()
+    found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
     if not found:
-        os.makedirs("/tmp/checkpoints", exist_ok=True)
-        found = "file://" + tempfile.mkdtemp(dir="/tmp/checkpoints")
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        found = f"file://{tempfile.mkdtemp()}"
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
 
@@ -42,10 +42,9 @@ def durable(df: DataFrame, kind: str = "part") -> DataFrame:
 
 def forget(df: DataFrame) -> None:
     """Delete what durable() wrote, once nothing reads it any more."""
-    spark = df.sparkSession
-    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        target = spark._jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        store, path = fs.FileSystem.from_uri(folder)
+        store.delete_dir(path)
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -87,17 +86,13 @@ def roots(n: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
     """The smallest index that each of n nodes reaches over the links left[i]-right[i]."""
     label = np.arange(n)
     while len(left):
-        least = np.minimum(label[left], label[right])
-        np.minimum.at(label, left, least)
-        np.minimum.at(label, right, least)
-        label = label[label]
+        a, b = label[left], label[right]
+        np.minimum.at(label, np.maximum(a, b), np.minimum(a, b))  # roots hang on smaller roots
+        while (label[label] != label).any():
+            label = label[label]
         apart = label[left] != label[right]
         left, right = left[apart], right[apart]
-    while True:
-        up = label[label]
-        if (up == label).all():
-            return label
-        label = up
+    return label
 
 
 def components(edges: DataFrame) -> DataFrame:

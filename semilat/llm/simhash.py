@@ -10,12 +10,15 @@ Only distinct fingerprints are compared, so copies cost nothing. Each tile is co
 its rows a root; a pair of tiles then passes on a spanning forest of links between roots, so that a large group of near
 copies leaves about one link for each pair of its tiles, never all pairs.
 
+`near_copies_removed` takes the groups for candidates only and confirms them by the shingles themselves.
+
 Nulls: a null text is an empty one, whose fingerprint is zero and is compared like any other. A null id takes part as
 a text and never gives its group a name; a group of only such rows has a null component. Repeated rows and ids stay.
 """
 
 from __future__ import annotations
 
+from fractions import Fraction
 from itertools import product
 
 import numpy as np
@@ -24,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, durable, map_batches, texts
+from .common import components, durable, forget, map_batches, roots, texts
 
 SEED = 42
 #: Shingles turned into bits at a time.
@@ -33,6 +36,10 @@ CHUNK = 1 << 16
 BLOCK = 1 << 20
 #: Parts into which the tiles of a crowded cell are dealt.
 SALTS = 16
+#: Shingles and sets of a tile of sets that are compared with each other.
+TILE_SHINGLES, TILE_SETS = 1 << 19, 2048
+#: A hash in more sets than FEW is counted by matrix products, WIDTH hashes at a time.
+FEW, WIDTH = 24, 2048
 
 
 def shingle_hashes(text: bytes, words: int) -> np.ndarray:
@@ -66,16 +73,23 @@ def fingerprint(h: np.ndarray, lanes: int = 1) -> np.ndarray:
     return np.packbits(2 * ones > len(h), bitorder="little").view(np.uint64)
 
 
-def fingerprints(docs: DataFrame, id_col: str, text_col: str, words: int, lanes: int = 1, distinct: bool = False) -> DataFrame:
-    """(id, fp): fp holds the lanes as big-endian bytes, so that its hexadecimal form is the fingerprint's."""
+def fingerprints(docs: DataFrame, id_col: str, text_col: str, words: int, lanes: int = 1, distinct: bool = False, *more) -> DataFrame:
+    """(id, fp, n) and the columns `more`: fp holds the lanes as big-endian bytes, so that its hexadecimal form is the
+    fingerprint's; n is the number of shingles."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        hashes = (shingle_hashes(t, words) for t in texts(batch.column(1)))
-        fps = [fingerprint(np.unique(h) if distinct else h, lanes).astype(">u8").tobytes() for h in hashes]
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.binary())], ["id", "fp"])
+        fps, sizes = [], []
+        for t in texts(batch.column("__text")):
+            h = shingle_hashes(t, words)
+            h = np.unique(h) if distinct else h
+            fps.append(fingerprint(h, lanes).astype(">u8").tobytes())
+            sizes.append(len(h))
+        rest = [n for n in batch.schema.names if n != "__text"]
+        return pa.RecordBatch.from_arrays([*(batch.column(n) for n in rest), pa.array(fps, pa.binary()), pa.array(sizes, pa.int64())], [*rest, "fp", "n"])
 
-    chosen = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return map_batches(chosen, run, "id long, fp binary")
+    chosen = docs.select(F.col(id_col).cast("long").alias("id"), *more, F.col(text_col).cast("string").alias("__text"))
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in chosen.schema.fields[:-1])
+    return map_batches(chosen, run, f"{schema}, fp binary, n long")
 
 
 def neighbours(radius: int, parts: int, base: int, bin: int = 1) -> list[int]:
@@ -96,7 +110,8 @@ def compare(a: np.ndarray, b: np.ndarray, radius: int, same: bool, tops: np.ndar
     """
     n, left, right = len(a), [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     step = max(1, BLOCK // max(1, len(b)))
-    half = (a.shape[1] + 1) // 2
+    # The fewest lanes in which unrelated rows, whose bits differ by half, hardly ever pass.
+    half = next((k for k in range(1, a.shape[1]) if 32 * k - 16 * k**0.5 > radius), a.shape[1])
     for i in range(0, n, step):
         apart = np.bitwise_count(a[i : i + step, None, 0] ^ b[None, :, 0]).astype(np.uint16)
         for lane in range(1, half):
@@ -119,8 +134,6 @@ def compare(a: np.ndarray, b: np.ndarray, radius: int, same: bool, tops: np.ndar
 
 
 def roots_of(n: int, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    from .common import roots
-
     top = roots(n, x, y)
     below = np.nonzero(top != np.arange(n))[0]
     return below, top[below]
@@ -196,29 +209,147 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """(id, fp, component): each row's fingerprint and the smallest id reachable over links, its own included.
 
     words: words of a shingle. lanes: words of 64 bits of a fingerprint. radius: most bits by which linked ones differ.
-    distinct: repeats of a shingle count once.
-    Few bits let tiles be cut by the counts of four parts; a radius beyond a part's spread leaves one part.
+    distinct: repeats of a shingle count once. Groups are found among fingerprints and named afterwards, so that rows with
+    a null id link others, too.
     """
-    parts = 4 if radius <= 4 * lanes else 1
-    fps = durable(fingerprints(docs, id_col, text_col, words, lanes, distinct), "fps")
-    reps = durable(fps.groupBy("fp").agg(F.min("id").alias("rep")), "reps")
-    links = durable(tile_links(reps.select("fp"), radius, lanes, parts, tile_rows), "links")
-    named = reps.where("rep is not null")
-    a, b = named.select(F.col("fp").alias("a"), F.col("rep").alias("ra")), named.select(F.col("fp").alias("b"), F.col("rep").alias("rb"))
-    found = components(links.join(a, "a").join(b, "b").select(F.col("ra").alias("a"), F.col("rb").alias("b")))
-    labels = durable(reps.join(found, reps.rep == found.node, "left").select(F.col("fp").alias("of"), F.coalesce("component", "rep").alias("component")), "labels")
+    return groups_of(durable(fingerprints(docs, id_col, text_col, words, lanes, distinct), "fps"), radius, lanes, tile_rows)
+
+
+def groups_of(fps: DataFrame, radius: int, lanes: int, tile_rows: int) -> DataFrame:
+    """(id, fp, component) of rows(id, fp)."""
+    reps = durable(fps.groupBy("fp").agg(F.min("id").alias("rep")).withColumn("node", F.monotonically_increasing_id()), "reps")
+    found = fingerprint_components(reps, radius, lanes, tile_rows)
+    linked = found.join(reps.select("node", "rep"), "node")
+    names = linked.join(linked.groupBy("component").agg(F.min("rep").alias("name")), "component").select(F.col("node").alias("of"), "name")
+    labels = durable(reps.join(names, reps.node == names.of, "left").select(F.col("fp").alias("of"), F.coalesce("name", "rep").alias("component")), "labels")
+    forget(reps)
     return fps.join(labels, fps.fp == labels.of).select("id", "fp", "component")
 
 
-def near_copies_removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, lanes: int = 4, radius: int = 52, tile_rows: int = 4096) -> DataFrame:
-    """docs with one row of each group of near copies: the one with the smallest id.
+def fingerprint_components(reps: DataFrame, radius: int, lanes: int, tile_rows: int) -> DataFrame:
+    """(node, component) of the linked ones of reps(fp, node), whose fp are distinct.
+
+    Few bits let tiles be cut by the counts of four parts; a radius beyond a part's spread leaves one part.
+    """
+    links = durable(tile_links(reps.select("fp"), radius, lanes, 4 if radius <= 4 * lanes else 1, tile_rows), "links")
+    a, b = reps.select(F.col("fp").alias("a"), F.col("node").alias("na")), reps.select(F.col("fp").alias("b"), F.col("node").alias("nb"))
+    found = components(links.join(a, "a").join(b, "b").select(F.col("na").alias("a"), F.col("nb").alias("b")))
+    forget(links)
+    return found
+
 
-    With 256 bits the share of differing bits is the angle between two documents' shingle sets over pi: a similarity of
-    0.8 means 39 bits on average (standard deviation 6), and two unrelated documents differ in 128 (8). Rows with the
-    same id and text leave one row; rows with a null id stay.
+def exact_links(sets: list[np.ndarray], left: int, least: Fraction) -> tuple[np.ndarray, np.ndarray]:
+    """Links of a spanning forest between sets of shingle hashes whose Jaccard similarity is `least` or more.
+
+    left: if not 0, only sets before it are held against those from it on. Two empty sets are equal. What two sets share
+    is counted hash by hash: from all pairs of the few sets that hold a rare one, and by products of 0-1 matrices for the
+    others, of which there are few.
+    """
+    n = len(sets)
+    up, across = (left, n - left) if left else (n, n)
+    size = np.fromiter(map(len, sets), np.int64, n)
+    hashes, at, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    order = np.argsort(at, kind="stable")
+    col, row = at[order], np.repeat(np.arange(n), size)[order]
+    held = count[col]
+    both = np.zeros(up * across, np.int64)
+    few = (held > 1) & (held <= FEW)
+    c, r = col[few], row[few]
+    for d in range(1, int(held[few].max(initial=1))):
+        same = c[d:] == c[:-d]
+        x, y = r[:-d][same], r[d:][same]  # x < y: the sort is stable
+        if left:
+            cross = (x < left) & (y >= left)
+            x, y = x[cross], y[cross] - left
+        both += np.bincount(x * across + y, minlength=len(both))
+    both = both.reshape(up, across)
+    c, r = np.unique(col[held > FEW], return_inverse=True)[1], row[held > FEW]
+    for first in range(0, int(c.max(initial=-1)) + 1, WIDTH):
+        now = (c >= first) & (c < first + WIDTH)
+        block = np.zeros((n, WIDTH), np.float32)
+        block[r[now], c[now] - first] = 1
+        both += (block[:up] @ (block[left:] if left else block).T).astype(np.int64)
+    union = size[:up, None] + (size[left:] if left else size)[None, :] - both
+    close = both * least.denominator >= union * least.numerator
+    if not left:
+        close[np.tril_indices(n)] = False
+    x, y = np.nonzero(close)
+    return roots_of(n, x, y + left)
+
+
+def confirmed(members: DataFrame, docs: DataFrame, words: int, least: Fraction) -> DataFrame:
+    """(a, b): links that hold by the shingles themselves, as spanning forests, between nodes of one cluster.
+
+    members(node, cluster, id, k1, k2, n): one row each, n being its shingles. docs(id, k1, k2, text) has their texts. A
+    cluster beyond TILE_SHINGLES shingles or TILE_SETS sets is dealt into tiles, and each pair of them is compared; small
+    clusters share a task's group.
+    """
+    sizes = members.groupBy("cluster").agg(F.greatest(F.ceil(F.sum("n") / TILE_SHINGLES), F.ceil(F.count("*") / TILE_SETS), F.lit(1)).cast("int").alias("tiles"), F.sum("n").alias("all"))
+    sizes = durable(sizes, "sizes")
+    bins = 1 + (sizes.where("tiles = 1").agg(F.sum("all")).first()[0] or 0) // TILE_SHINGLES
+    shared = F.when(F.col("tiles") == 1, -1 - F.pmod(F.xxhash64("cluster"), F.lit(bins))).otherwise(F.col("cluster"))
+    known = members.join(sizes, "cluster").select("node", "cluster", "tiles", shared.alias("bin"), F.col("id").alias("of"), F.col("k1").alias("l1"), F.col("k2").alias("l2"))
+    match = docs["id"].eqNullSafe(known["of"]) & (docs["k1"] == known["l1"]) & (docs["k2"] == known["l2"])
+    found = docs.join(known, match).groupBy("of", "l1", "l2", "node").agg(F.first("text").alias("text"), *[F.first(x).alias(x) for x in ("cluster", "tiles", "bin")])
+
+    def pack(batch: pa.RecordBatch) -> pa.RecordBatch:
+        held = pa.array([np.unique(shingle_hashes(t, words)).tobytes() for t in texts(batch.column("text"))], pa.binary())
+        return pa.RecordBatch.from_arrays([*(batch.column(x) for x in ("node", "cluster", "tiles", "bin")), held], ["node", "cluster", "tiles", "bin", "shingles"])
+
+    packed = durable(map_batches(found.select("node", "cluster", "tiles", "bin", "text"), pack, "node long, cluster long, tiles int, bin long, shingles binary"), "shingles")
+    dealt = packed.withColumn("own", F.pmod(F.xxhash64("node"), "tiles").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    pairs = dealt.select("bin", "cluster", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), (F.col("own") > F.col("other")).alias("right"), "node", "shingles")
+
+    def compare(table: pa.Table) -> pa.Table:
+        cluster, right, node = table["cluster"].to_numpy(), table["right"].to_numpy(), table["node"].to_numpy()
+        sets = [np.frombuffer(x, np.uint64) for x in table["shingles"].to_pylist()]
+        order = np.lexsort((node, right, cluster))
+        cuts = np.nonzero(np.diff(cluster[order], prepend=order.size and cluster[order[0]] - 1))[0]
+        apart = table["x"][0].as_py() != table["y"][0].as_py()
+        below, top = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for a, b in zip(cuts, [*cuts[1:], len(order)]):
+            own = order[a:b]
+            left = int((~right[own]).sum()) if apart else 0
+            if len(own) > 1 and (not apart or 0 < left < len(own)):
+                i, j = exact_links([sets[k] for k in own], left, least)
+                below.append(node[own[i]])
+                top.append(node[own[j]])
+        return pa.table({"a": np.concatenate(below), "b": np.concatenate(top)})
+
+    return pairs.groupBy("bin", "x", "y").applyInArrow(compare, "a long, b long")
+
+
+def near_copies_removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, least: float = 0.8, lanes: int = 4, radius: int = 64, tile_rows: int = 4096) -> DataFrame:
+    """docs with one row of each group of near copies: the one with the smallest id, null last.
+
+    Near copies have sets of `words`-word shingles with a Jaccard similarity of `least` or more, and so do groups by a
+    chain of them. SimHash finds the candidates: with 256 bits, the share of differing bits is the angle between two
+    documents' shingle sets over pi, and a similarity of 0.8 means 39 bits on average (standard deviation 6), so that a
+    radius of 64 is more than four deviations beyond. What it joins into clusters is then confirmed by the shingles.
+    Rows with equal texts are near copies, too, whatever their shingles; of rows with the same id and text, one stays.
     """
-    groups = simhash_groups(docs, id_col, text_col, words, radius, lanes, tile_rows, distinct=True)
-    keep = groups.where("id = component").select(F.col("id").alias("__keep")).distinct()
-    known = docs.where(F.col(id_col).isNotNull())
-    kept = known.join(keep, known[id_col].cast("long") == keep["__keep"], "left_semi").dropDuplicates([id_col])
-    return kept.unionByName(docs.where(F.col(id_col).isNull()))
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    keys = {"k1": F.xxhash64(text), "k2": F.xxhash64(F.lit(SEED), text)}
+    rows = fingerprints(docs, id_col, text_col, words, lanes, True, *[c.alias(k) for k, c in keys.items()])
+    rows = durable(rows.groupBy("id", "k1", "k2").agg(F.first("fp").alias("fp"), F.first("n").alias("n"), F.count("*").alias("repeats")), "fps")
+    best = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "fp", "n", "repeats")).alias("v")
+    nodes = durable(rows.groupBy("k1", "k2").agg(best).select("k1", "k2", "v.*").withColumn("node", F.monotonically_increasing_id()), "nodes")
+    forget(rows)
+    reps = durable(nodes.groupBy("fp").agg(F.min("node").alias("node"), F.count("*").alias("same")), "reps")
+    near = fingerprint_components(reps, radius, lanes, tile_rows)
+    clusters = reps.join(near.withColumnRenamed("node", "of"), F.col("node") == F.col("of"), "left").where("component is not null or same > 1")
+    clusters = durable(clusters.select("fp", F.coalesce("component", "node").alias("cluster")), "clusters")
+    members = durable(nodes.join(clusters, "fp").select("node", "cluster", "id", "k1", "k2", "n"), "members")
+    keyed = docs.select(F.col(id_col).cast("long").alias("id"), *[c.alias(k) for k, c in keys.items()], text.alias("text"))
+    links = durable(confirmed(members, keyed, words, Fraction(least).limit_denominator(10**6)), "links")
+    found = components(links).withColumnRenamed("node", "of")
+    member = nodes.join(found, nodes.node == found.of).select("component", "node", F.struct("none", "id", "k1", "k2").alias("v"))
+    losers = member.join(member.groupBy("component").agg(F.min("v").alias("first")), "component").where("v <> first").select("node")
+    keep = durable(nodes.join(losers, "node", "left_anti").select(F.col("id").alias("__id"), F.col("k1").alias("__l1"), F.col("k2").alias("__l2"), "repeats"), "keep")
+    match = lambda d: F.col(id_col).cast("long").eqNullSafe(d["__id"]) & (F.col("__k1") == d["__l1"]) & (F.col("__k2") == d["__l2"])
+    kept = docs.withColumns({f"__{k}": c for k, c in keys.items()})
+    once, often = keep.where("repeats = 1"), keep.where("repeats > 1")
+    out = kept.join(once, match(once), "left_semi")
+    if not often.isEmpty():
+        out = out.unionByName(kept.join(often, match(often), "left_semi").dropDuplicates([id_col, "__k1", "__k2"]))
+    return out.select(*docs.columns)
