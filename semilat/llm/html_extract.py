@@ -18,7 +18,9 @@ from __future__ import annotations
 import html
 import random
 import re
+from collections import Counter
 from functools import lru_cache
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -29,30 +31,86 @@ from .common import map_batches
 
 PAGES, ROUNDS, SEED = 800, 80, 1
 
-MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*'){0,5000})>|<[!?][^>]*>", re.S)
-ATTRIBUTE = re.compile(r"""([a-zA-Z-]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
+# Markup is read by patterns that are matched where the reader stands and never look back, so that a page of any kind
+# takes time in proportion to its length.
+NAME = re.compile(r"/?([a-zA-Z][^\s/>]*+)")
+ATTRIBUTE = re.compile(r"""[\s/]*+(?:(>)|([^\s/>][^\s/>=]*+)(?:\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s>"'][^\s>]*+))?)?)""")
 # Kinds of HTML elements.
 SKIPPED = frozenset("script style noscript template title textarea select svg math iframe object canvas audio video".split())
 BLOCKS = frozenset("address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html label legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul button caption".split())
-INLINE_KEPT = frozenset(("a",))
+RAW = frozenset("script style noscript title textarea iframe".split())
 ENDS_P = BLOCKS - {"button", "label", "summary", "caption", "html", "head", "body"}
 IMPLIED = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "tbody": ("tbody", "thead", "tr", "td", "th")}
-FENCES = frozenset("table ul ol dl div section article body".split())
+OPTIONAL = frozenset("p li dt dd tr td th tbody thead tfoot".split())
 #: Words of classes, ids and roles that are features.
 WORDS = re.compile(r"nav|menu|head|foot|side|bar|ad|ads|advert|adverts|advertisement|sponsor|sponsored|promo|promoted|banner|cookie|consent|notice|alert|gdpr|comment|comments|reply|replies|respond|discussion|disqus|social|share|related|recommended|newsletter|subscribe|signup|login|search|breadcrumb|breadcrumbs|crumbs|widget|form|modal|popup|copyright|legal|meta|byline|tags|pagination|pager|content|article|post|entry|main|story|body|text|page|masthead|logo|navigation|header|footer|sidebar|complementary|contentinfo|topbar|toolbar|links|teaser|hidden|skip|user|thread|feedback|review|reviews|wrapper|container")
 CAMEL = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 
-class Block:
-    __slots__ = ("parts", "linked", "path")
+TELLING = frozenset("nav header footer aside form article main".split())
+SECTIONS = frozenset("article main section nav aside header footer form body div table ul ol".split())
+
+
+class Element(NamedTuple):
+    """An open element, with what its blocks need to know of its ancestors: sets that children share while they add nothing."""
+
+    tag: str
+    words: tuple
+    every: frozenset
+    near: tuple
+    container: int
 
-    def __init__(self, path: tuple):
-        self.parts, self.linked, self.path = [], 0, path
 
+ROOT = Element("", (), frozenset(), (), 0)
 
-def blocks(page: str) -> list[tuple[str, float, tuple]]:
-    """(text, share of it in links, ancestors as (tag, features, number)) of each leaf block with text."""
-    out, stack, links, now, at, number = [], [], 0, None, 0, 0
+
+def child(parent: Element, tag: str, words: tuple, number: int) -> Element:
+    new = {"in_" + tag, *words}
+    near = tuple("near_" + w for w in words or (tag,)) if words or tag in TELLING else parent.near
+    return Element(tag, words, parent.every if new <= parent.every else parent.every | new, near, number if tag in SECTIONS else parent.container)
+
+
+class Block:
+    __slots__ = ("parts", "linked", "element")
+
+    def __init__(self, element: Element):
+        self.parts, self.linked, self.element = [], 0, element
+
+
+def tags(page: str, resume: list[int]):
+    """(start, end, name, closing, attributes as (start, end), self-closing) of each tag; name is None for comments and the like.
+
+    Reading goes on at resume[0] if the caller has set it further. A tag that never ends reaches to the end of the page. A quote that never closes is a character like others.
+    """
+    at, end = page.find("<"), len(page)
+    while at >= 0:
+        m = NAME.match(page, at + 1)
+        if m:
+            place = first = m.end()
+            before = place
+            while place < end and (a := ATTRIBUTE.match(page, place)):
+                before, place = place, a.end()
+                if a[1]:
+                    break
+            else:
+                place = before = end
+            yield at, place, m[1].lower(), page[at + 1] == "/", (first, before), page[place - 2 : place] == "/>" and before < place - 1
+        elif page.startswith("<!--", at):
+            close = page.find("-->", at + 2)
+            place = close + 3 if close >= 0 else end
+            yield at, place, None, False, (0, 0), False
+        elif page[at + 1 : at + 2] in ("!", "?", "/"):
+            close = page.find(">", at)
+            place = close + 1 if close >= 0 else end
+            yield at, place, None, False, (0, 0), False
+        else:
+            place = at + 1
+        at = page.find("<", max(place, resume[0]))
+
+
+def blocks(page: str) -> list[tuple[str, float, Element]]:
+    """(text, share of it in links, innermost element) of each leaf block with text."""
+    out, stack, links, now, at, number, unclosed, opened, resume = [], [ROOT], 0, None, 0, 0, set(), Counter(), [0]
     end = len(page)
 
     def put(a: int, b: int) -> None:
@@ -64,66 +122,66 @@ def blocks(page: str) -> list[tuple[str, float, tuple]]:
             if now is None:
                 if text.isspace():
                     return
-                now = Block(tuple(stack))
+                now = Block(stack[-1])
                 out.append(now)
             now.parts.append(text)
             if links:
                 now.linked += len(text)
 
-    while at < end:
-        m = MARKUP.search(page, at)
-        if not m:
-            put(at, end)
-            break
-        put(at, m.start())
-        at = m.end()
-        tag = m[2]
+    def leave(names, through) -> None:
+        """Close the innermost element of these names, and what it holds, if only elements of `through` are in it."""
+        if not any(opened[n] for n in names):
+            return
+        i = len(stack) - 1
+        while i and stack[i].tag not in names:
+            if through is not None and stack[i].tag not in through:
+                return
+            i -= 1
+        for e in stack[i:]:
+            opened[e.tag] -= 1
+        del stack[i:]
+
+    for start, stop, tag, closing, (first, last), alone in tags(page, resume):
+        put(at, start)
+        at = stop
         if tag is None:
             continue
-        tag = tag.lower()
         if tag in SKIPPED:
-            if not m[1] and not m[3].endswith("/"):
-                close = re.compile(rf"</{tag}\b[^>]*>", re.I).search(page, at)
-                at = close.end() if close else end
+            if not closing and not (alone and tag in ("svg", "math")) and tag not in unclosed:
+                close = re.compile(rf"</{tag}(?=[\s/>])", re.I).search(page, at)
+                if close:
+                    resume[0] = at = page.find(">", close.end()) + 1 or end
+                else:
+                    unclosed.add(tag)
+                    resume[0] = at = end if tag in RAW else at
             continue
         if tag == "br":
             if now is not None:
                 now.parts.append(" ")
             continue
         if tag == "a":
-            links = 0 if m[1] else 1
+            links = 0 if closing else 1
             continue
         if tag not in BLOCKS:
             continue
         now, links = None, 0
-        if m[1]:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == tag:
-                    del stack[i:]
-                    break
+        if closing:
+            leave((tag,), None)
             continue
-        if tag in ENDS_P and stack and any(s[0] == "p" for s in stack):
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == "p":
-                    del stack[i:]
-                    break
-                if stack[i][0] in FENCES:
-                    break
+        if tag in ENDS_P:
+            leave(("p",), OPTIONAL)
         if tag in IMPLIED:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] in IMPLIED[tag]:
-                    del stack[i:]
-                    break
-                if stack[i][0] in FENCES:
-                    break
+            leave(IMPLIED[tag], OPTIONAL)
         if tag != "hr":
             number += 1
-            stack.append((tag, named(m[3]) if m[3] else (), number))
+            opened[tag] += 1
+            stack.append(child(stack[-1], tag, named(page[first:last]) if first < last else (), number))
+    put(at, end)
     found = []
     for b in out:
         raw = "".join(b.parts)
         if text := " ".join(raw.split()):
-            found.append((text, b.linked / len(raw), b.path))
+            found.append((text, b.linked / len(raw), b.element))
     return found
 
 
@@ -132,7 +190,7 @@ def named(attributes: str) -> tuple[str, ...]:
     """Features of an element's class, id, role and visibility."""
     out = set()
     for m in ATTRIBUTE.finditer(attributes):
-        name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
+        name, value = (m[2] or "").lower(), m[3] or m[4] or m[5] or ""
         if name in ("class", "id", "role", "itemprop", "aria-label"):
             out |= {"w_" + w.lower() for w in CAMEL.findall(value) if WORDS.fullmatch(w.lower())}
         elif name == "style" and "none" in value.replace(" ", "").lower():
@@ -140,10 +198,6 @@ def named(attributes: str) -> tuple[str, ...]:
     return tuple(sorted(out))
 
 
-TELLING = frozenset("nav header footer aside form article main".split())
-SECTIONS = frozenset("article main section nav aside header footer form body div table ul ol".split())
-
-
 def step(n: float, cuts) -> int:
     return sum(n >= c for c in cuts)
 
@@ -152,17 +206,11 @@ def page_features(found) -> tuple[list[list[str]], list[int]]:
     """Features of each block, and whether it shares its nearest sectioning ancestor with the block before."""
     out, same, before = [], [], None
     total = len(found)
-    for i, (text, linked, path) in enumerate(found):
-        f = {"bias"}
-        for tag, words, _ in path:
-            f.add("in_" + tag)
-            f.update(words)
-        if path:
-            f.add("own_" + path[-1][0])
-            f.update("own_" + w for w in path[-1][1])
-        inner = next((p for p in reversed(path) if p[1] or p[0] in TELLING), None)
-        if inner:
-            f.update("near_" + w for w in inner[1] or (inner[0],))
+    for i, (text, linked, element) in enumerate(found):
+        f = {"bias", *element.every, *element.near}
+        if element.tag:
+            f.add("own_" + element.tag)
+            f.update("own_" + w for w in element.words)
         words = text.count(" ") + 1
         f.add(f"words_{step(words, (2, 4, 8, 15, 30, 60))}")
         f.add(f"links_{step(linked, (0.01, 0.3, 0.7, 0.95))}")
@@ -172,9 +220,8 @@ def page_features(found) -> tuple[list[list[str]], list[int]]:
             f.add("copyright")
         f.add("first" if i == 0 else "last" if i == total - 1 else "middle")
         out.append(list(f))
-        container = next((p[2] for p in reversed(path) if p[0] in SECTIONS), 0)
-        same.append(int(container == before))
-        before = container
+        same.append(int(element.container == before))
+        before = element.container
     return out, same
 
 

@@ -81,8 +81,8 @@ m as (select d, max(page_id) last from p group by d)
 select page_id, octet_length(encode(h))::bigint payload_bytes,
   array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
     (((('0x' || substr(p.d, (i // 8 * 10 + 1)::int, 10))::bigint >> (35 - 5 * (i % 8))::int) & 31) + 1)::int, 1)), '') payload_digest,
-  case when page_id = last then 'response' else 'revisit' end record_type,
-  case when page_id <> last then last end refers_to
+  case when page_id is distinct from last then 'revisit' else 'response' end record_type,
+  case when page_id is distinct from last then last end refers_to
 from p join m on p.d = m.d
 """
 

@@ -13,8 +13,12 @@ Archives are written by the tasks through the file system that the folder's addr
 temporary name and then renamed, so that a repeated task replaces its file with the same bytes. They are read back by
 Spark. An archive is closed at `archive_bytes`, so that one fits in a task.
 
-Nulls: a null html is an empty payload; a null id is written without one and read back as null; such rows and rows that
-repeat the largest id of their payload are responses of their own. Repeated other rows are revisits each.
+The reader takes records of any WARC type and of other writers: header names in any case, folded lines, records without
+an HTTP header, revisits without a reference, further skippable frames.
+
+Nulls: a null html is an empty payload; a null id is written without one and read back as null. It is below all others, so
+that such a row revisits a row with an id and the same payload; without one, it is a response. Rows that repeat the
+largest id of their payload are responses of their own. Repeated other rows are revisits each.
 """
 
 from __future__ import annotations
@@ -22,6 +26,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import posixpath
+import re
 import struct
 from collections.abc import Iterator
 
@@ -45,6 +50,7 @@ DICTIONARY_ROWS, DICTIONARY_BYTES = 500, 64 << 10
 #: Archives carry no clock, so that a repeated task writes the same bytes.
 DATE = "2000-01-01T00:00:00Z"
 LEVEL = 3
+SCHEMA = "id long, url string, payload binary, payload_bytes long, payload_digest string, record_type string, refers_to long, record_id string, refers_to_id string"
 
 
 class Invalid(ValueError):
@@ -86,69 +92,122 @@ def frames(archive: bytes) -> tuple[zstandard.ZstdCompressionDict | None, Iterat
         at = 8 + size
 
     def each(at: int) -> Iterator[bytes]:
-        rest = memoryview(archive)[at:]
+        view = memoryview(archive)
         tool = zstandard.ZstdDecompressor(dict_data=dictionary) if dictionary else zstandard.ZstdDecompressor()
-        while len(rest):
-            if len(rest) < 4 or struct.unpack_from("<I", rest)[0] != FRAME:
-                raise Invalid("no frame where one is due")
-            one = tool.decompressobj()
-            try:
-                content = one.decompress(rest)
-            except zstandard.ZstdError as e:
-                raise Invalid(f"a frame can't be decoded: {e}") from e
-            if not one.eof:
-                raise Invalid("the last frame is cut off")
-            rest = rest[len(rest) - len(one.unused_data) :]
-            yield content
+        while at < len(view):
+            end, holds = frame_end(view, at)
+            if holds:
+                one = tool.decompressobj()
+                try:
+                    content = one.decompress(view[at:end])
+                except zstandard.ZstdError as e:
+                    raise Invalid(f"a frame can't be decoded: {e}") from e
+                if not one.eof:
+                    raise Invalid("a frame is cut off")
+                yield content
+            at = end
 
     return dictionary, each(at)
 
 
+def frame_end(view: memoryview, at: int) -> tuple[int, bool]:
+    """Where the frame at this place ends, from the lengths in its headers, and whether it holds data (or is skippable)."""
+    try:
+        magic = struct.unpack_from("<I", view, at)[0]
+        if magic >> 4 == SKIPPABLE >> 4:
+            end, holds = at + 8 + struct.unpack_from("<I", view, at + 4)[0], False
+        elif magic == FRAME:
+            flags = view[at + 4]
+            single = flags >> 5 & 1
+            end, last, holds = at + 5 + (1 - single) + (0, 1, 2, 4)[flags & 3] + (single, 2, 4, 8)[flags >> 6], 0, True
+            while not last:
+                block = int.from_bytes(view[end : end + 3], "little")
+                last = block & 1
+                end += 3 + (1 if block >> 1 & 3 == 1 else block >> 3)
+                if end > len(view):
+                    break
+            end += 4 * (flags >> 2 & 1)
+        else:
+            raise Invalid("no frame where one is due")
+    except (struct.error, IndexError) as e:
+        raise Invalid("the last frame is cut off") from e
+    if end > len(view):
+        raise Invalid("the last frame is cut off")
+    return end, holds
+
+
 def parse(content: bytes) -> tuple[dict[str, str], bytes]:
-    """A record's headers and block, checked."""
+    """A record's headers, by names in lower case, and its block, checked."""
     head, mark, rest = content.partition(b"\r\n\r\n")
     lines = head.split(b"\r\n")
     if not mark or not lines[0].startswith(b"WARC/1."):
         raise Invalid("a record doesn't start with its version and headers")
-    headers = {}
+    headers, name = {}, ""
     for line in lines[1:]:
-        name, colon, value = line.decode().partition(":")
+        if line[:1] in (b" ", b"\t") and name:  # a folded line goes on with the one before
+            headers[name] += " " + line.decode("utf-8", "replace").strip()
+            continue
+        name, colon, value = line.decode("utf-8", "replace").partition(":")
         if not colon:
             raise Invalid("a header line has no colon")
-        headers[name.strip()] = value.strip()
-    if missing := [h for h in MANDATORY if h not in headers]:
+        name = name.strip().lower()
+        headers.setdefault(name, value.strip())
+    if missing := [h for h in MANDATORY if h.lower() not in headers]:
         raise Invalid(f"missing headers: {missing}")
-    if not headers["Content-Length"].isdigit() or len(rest) != int(headers["Content-Length"]) + 4 or rest[-4:] != b"\r\n\r\n":
+    length = headers["content-length"]
+    if not (length.isascii() and length.isdigit()) or len(rest) != int(length) + 4 or rest[-4:] != b"\r\n\r\n":
         raise Invalid("a record's length isn't its Content-Length")
     return headers, rest[:-4]
 
 
-def checked(content: bytes) -> tuple[int | None, str, bytes, int, str, str, int | None]:
-    """(id, url, payload, payload length, digest, type, refers to) of a record of this module's writer or like it."""
+def row_of(name: str | None) -> int | None:
+    """The row that a record id of this module's writer names; null for others."""
+    m = re.fullmatch(r"<?urn:row:(-?[0-9]+)>?", name or "")
+    return int(m[1]) if m else None
+
+
+def checked(content: bytes) -> tuple:
+    """(id, url, payload, payload length, digest, type, refers to, record id, id referred to) of any record.
+
+    The payload is the block, without the header of an HTTP response. A length or digest that the headers give must be
+    the payload's. Lengths and digests that they don't give are those of the payload, or null for a revisit.
+    """
     headers, block = parse(content)
-    http, _, payload = block.partition(b"\r\n\r\n")
-    length = next((int(line.partition(b":")[2]) for line in http.split(b"\r\n") if line.lower().startswith(b"content-length:")), None)
-    kind, digest = headers["WARC-Type"], headers.get("WARC-Payload-Digest", "").removeprefix("sha1:")
-    refers = headers.get("WARC-Refers-To")
-    if kind not in ("response", "revisit") or length is None:
-        raise Invalid(f"not a response or revisit with an HTTP length: {kind}")
-    if kind == "response" and (len(payload) != length or base32_sha1(payload) != digest):
-        raise Invalid("a payload isn't as long as its header says, or has another digest")
-    if kind == "revisit" and (payload or not refers):
-        raise Invalid("a revisit has a payload or refers to nothing")
-    name = headers["WARC-Record-ID"].strip("<>").split(":")
-    return int(name[2]) if name[1] == "row" else None, headers.get("WARC-Target-URI", ""), payload, length, digest, kind, int(refers.strip("<>").split(":")[2]) if refers else None
+    kind, algorithm, digest = headers["warc-type"].lower(), *headers.get("warc-payload-digest", ":").partition(":")[::2]
+    payload, length = block, None
+    if kind in ("response", "revisit") and headers.get("content-type", "").replace(" ", "").lower().startswith("application/http"):
+        http, mark, payload = block.partition(b"\r\n\r\n")
+        if block and not (mark and http.startswith(b"HTTP/")):
+            raise Invalid("no HTTP header where one is due")
+        fields = [line.partition(b":") for line in http.split(b"\r\n")]
+        given = next((value.strip() for name, _, value in fields if name.strip().lower() == b"content-length"), None)
+        coded = any(name.strip().lower() == b"transfer-encoding" for name, _, _ in fields)
+        if given is not None and not coded:
+            if not given.isdigit():
+                raise Invalid("an HTTP length that is no number")
+            length = int(given)
+    if kind == "revisit":
+        if payload:
+            raise Invalid("a revisit has a payload")
+    else:
+        if length is not None and len(payload) != length:
+            raise Invalid("a payload isn't as long as its header says")
+        length = len(payload)
+        if kind in ("response", "resource") and algorithm.lower() == "sha1" and digest.upper() != base32_sha1(payload):
+            raise Invalid("a payload has another digest")
+        digest = digest or base32_sha1(payload)
+    name, refers = headers["warc-record-id"], headers.get("warc-refers-to")
+    return row_of(name), headers.get("warc-target-uri", ""), payload, length, digest or None, kind, row_of(refers), name, refers
 
 
 def marked(pages: DataFrame, id_col: str, url_col: str, html_col: str, least: int) -> DataFrame:
-    """(id, url, payload, refers_to): refers_to is the id of the response that a revisit repeats."""
+    """(id, url, payload, refers_to): refers_to is the id of the response that a revisit repeats. A null id is below all."""
     rows = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(html_col).cast("binary"), F.lit(b"")).alias("payload"))
-    keys = rows.where(F.col("id").isNotNull() & (F.octet_length("payload") >= least)).select("id", F.sha1("payload").alias("digest"))
-    keys = durable(keys, "digests")
+    keys = durable(rows.where(F.octet_length("payload") >= least).select("id", F.sha1("payload").alias("digest")), "digests")
     most = durable(keys.groupBy("digest").agg(F.max("id").alias("last"), F.count("*").alias("n")).where("n > 1").select(F.col("digest").alias("of"), "last"), "digests")
-    again = keys.join(most, (keys.digest == most.of) & (keys.id < most["last"])).groupBy(F.col("id").alias("other"), "digest").agg(F.max("last").alias("refers_to"))
-    again = again.withColumnRenamed("digest", "other_digest")
-    return rows.join(again, (rows.id == again.other) & (F.sha1("payload") == again.other_digest), "left").select("id", "url", "payload", "refers_to")
+    below = (keys.digest == most.of) & (keys.id.isNull() | (keys.id < most["last"])) & most["last"].isNotNull()
+    again = keys.join(most, below).groupBy(F.col("id").alias("other"), F.col("digest").alias("other_digest")).agg(F.max("last").alias("refers_to"))
+    return rows.join(again, rows.id.eqNullSafe(again.other) & (F.sha1("payload") == again.other_digest), "left").select("id", "url", "payload", "refers_to")
 
 
 def trained_dictionary(rows: DataFrame, count: int = DICTIONARY_ROWS, size: int = DICTIONARY_BYTES) -> bytes:
@@ -199,9 +258,10 @@ def write_archives(rows: DataFrame, folder: str, dictionary: bytes, archive_byte
 
 
 def read_archives(spark: SparkSession, folder: str, payloads: bool = True) -> DataFrame:
-    """The records of all archives in folder: id, url, payload (if asked for), payload_bytes, payload_digest, record_type, refers_to."""
-    kinds = (pa.int64(), pa.string(), pa.binary(), pa.int64(), pa.string(), pa.string(), pa.int64())
-    names = ["id", "url", "payload", "payload_bytes", "payload_digest", "record_type", "refers_to"]
+    """The records of all archives in folder, of any type: id and refers_to (rows of this module's writer), url, payload (if
+    asked for), payload_bytes, payload_digest, record_type, record_id and refers_to_id."""
+    kinds = (pa.int64(), pa.string(), pa.binary(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.string())
+    names = ["id", "url", "payload", "payload_bytes", "payload_digest", "record_type", "refers_to", "record_id", "refers_to_id"]
 
     def run(batch: pa.RecordBatch):
         for archive in batch.column(0):
@@ -217,7 +277,7 @@ def read_archives(spark: SparkSession, folder: str, payloads: bool = True) -> Da
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*held), kinds)], names)
 
     archives = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.zst").load(folder).select("content")
-    return map_batches(archives, run, "id long, url string, payload binary, payload_bytes long, payload_digest string, record_type string, refers_to long")
+    return map_batches(archives, run, SCHEMA)
 
 
 def round_trip(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least: int = 0, archive_bytes: int = ARCHIVE_BYTES, payloads: bool = False) -> DataFrame:
@@ -228,5 +288,5 @@ def round_trip(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
     plain = pages.select(F.col(id_col).alias("id"), F.coalesce(F.col(html_col).cast("binary"), F.lit(b"")).alias("payload"))
     written = durable(write_archives(rows, folder, trained_dictionary(plain), archive_bytes), "manifest").agg(F.sum("records")).first()[0]
     if not written:
-        return spark.createDataFrame([], "id long, url string, payload binary, payload_bytes long, payload_digest string, record_type string, refers_to long")
+        return spark.createDataFrame([], SCHEMA)
     return read_archives(spark, folder, payloads)

@@ -106,11 +106,33 @@ def test_html_edges(spark):
     assert html_extract.extracted(df.limit(0)).count() == 0
 
 
+def test_html_markup():
+    chain = html_extract.trained()
+    text = lambda page: [b[0] for b in html_extract.blocks(page)]
+    assert html_extract.main_text("<article><p title=don't>First paragraph of it, long enough.</p><p>Second one isn't short, either.</p></article>", chain) == "First paragraph of it, long enough.\nSecond one isn't short, either."
+    assert text("<script src=/a/>var x = 1;</script><p>a</p><svg/><p>b</p><script>x = \"<div class='\" + (a<b) </script><p class='z'>c</p>") == ["a", "b", "c"]
+    assert text("<p data-x='" + "y" * 6000 + "'>rest</p>") == ["rest"]
+    assert text("a < b <") == ["a < b <"] and text("<p>x<!-- y -->z<!doctype q></p>w") == ["xz", "w"] and text('<p title="abc>text</p>') == ["text"]
+    assert text("<svg>a<p>b") == ["a", "b"] and text("<style>a<p>b") == []
+
+
+@pytest.mark.parametrize("unit", ["<a ", "<div>x", "<svg>", "</script ", "<p title='", "<!-- ", "<li><form>", "</p>", "<div a=", "<"])
+def test_html_takes_linear_time(unit):
+    import time
+
+    took = []
+    for n in (20_000, 80_000):
+        began = time.process_time()
+        html_extract.blocks(unit * n)
+        took.append(time.process_time() - began)
+    assert took[1] < 10 * took[0] + 0.5
+
+
 # 2. WARC
 
 
 def test_warc_round_trip_and_edges(spark):
-    pages = [(i, f"http://h/{i}", f"<p>{i % 7}</p>" * (i % 5)) for i in range(60)] + [(100, "u\r\nx", None), (101, None, ""), (None, None, ""), (7, "a", "x"), (7, "a", "x"), (6, "a", "x"), (102, "big", "y" * 300000)]
+    pages = [(i, f"http://h/{i}", f"<p>{i % 7}</p>" * (i % 5)) for i in range(60)] + [(100, "u\r\nx", None), (101, None, ""), (None, None, ""), (None, "n", "alone"), (None, "n", "alone"), (7, "a", "x"), (7, "a", "x"), (6, "a", "x"), (102, "big", "y" * 300000)]
     df = spark.createDataFrame(pages, "page_id long, url string, html string").withColumns({"id": F.lit(1), "payload": F.lit("clash")})
     got = warc.round_trip(df, archive_bytes=2000, payloads=True).collect()
     last = {}
@@ -120,7 +142,7 @@ def test_warc_round_trip_and_edges(spark):
     want = Counter()
     for i, _, h in pages:
         h = h or ""
-        first = i is None or last[h] == i
+        first = i == last.get(h)
         want[(i, h.encode() if first else b"", len(h), warc.base32_sha1(h.encode()), "response" if first else "revisit", None if first else last[h])] += 1
     assert Counter((r.id, bytes(r.payload), r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in got) == want
     assert warc.round_trip(df.limit(0)).count() == 0
@@ -148,6 +170,37 @@ def test_warc_reader_rejects():
             warc.checked(bad)
 
 
+def test_warc_of_other_writers():
+    import zstandard
+
+    def rec(kind, block, *more, uid="<urn:uuid:8c1c>"):
+        lines = ["WARC/1.0", f"WARC-TYPE: {kind}", f"Warc-Record-Id: {uid}", "warc-date: 2020-01-01T00:00:00Z", *more, f"CONTENT-LENGTH: {len(block)}"]
+        return ("\r\n".join(lines) + "\r\n\r\n").encode() + block + b"\r\n\r\n"
+
+    http = "Content-Type: application/http; msgtype=response"
+    page = b"HTTP/1.1 200 OK\r\nA: b\r\n\r\nbody"
+    sample = [rec("warcinfo", b"software: x", "Content-Type: application/warc-fields"), rec("request", b"GET / HTTP/1.1\r\n\r\n"), rec("response", page, http), rec("resource", b"raw", "WARC-Payload-Digest: sha1:" + warc.base32_sha1(b"raw").lower()), rec("revisit", b"", "WARC-Refers-To: <urn:uuid:77>"), rec("revisit", b""), rec("metadata", b"a: b", "X-Folded: one", "  two")]
+    archive = struct.pack("<II", 0x184D2A50, 3) + b"abc" + b"".join(map(zstandard.ZstdCompressor(write_checksum=True).compress, sample))
+    got = [warc.checked(c) for c in warc.frames(archive)[1]]
+    assert [(r[0], r[2], r[3], r[5], r[8]) for r in got] == [(None, b"software: x", 11, "warcinfo", None), (None, b"GET / HTTP/1.1\r\n\r\n", 18, "request", None), (None, b"body", 4, "response", None), (None, b"raw", 3, "resource", None), (None, b"", None, "revisit", "<urn:uuid:77>"), (None, b"", None, "revisit", None), (None, b"a: b", 4, "metadata", None)]
+    for bad in (rec("response", b"nothing", http), rec("response", page[:-4] + b"x", http, "WARC-Payload-Digest: sha1:AA"), rec("response", b"HTTP/1.1 200 OK\r\nContent-Length: 9\r\n\r\nbody", http), rec("revisit", page, http)):
+        with pytest.raises(warc.Invalid):
+            warc.checked(bad)
+
+
+def test_warc_reader_takes_linear_time():
+    import time
+
+    import zstandard
+
+    one, took = zstandard.ZstdCompressor().compress(b"x" * 300 + bytes(range(256))), []
+    for n in (10_000, 40_000):
+        began = time.process_time()
+        assert sum(1 for _ in warc.frames(one * n)[1]) == n
+        took.append(time.process_time() - began)
+    assert took[1] < 8 * took[0] + 0.3
+
+
 # 3. Embeddings
 
 
