@@ -8,7 +8,7 @@ bin that a single packing of all pieces might have saved.
 
 The ids are those of the public byte-level BPE. In that vocabulary's pattern a lone space always opens a new part, so a
 text of common letters without double spaces is split there, and each distinct part is encoded once per task by the
-ranks file of the same vocabulary; any other text goes whole through the JSON tokenizer. Only lengths and checksums leave the tasks.
+ranks file of the same vocabulary; any other text, and one that holds the text of an added token, goes whole through the JSON tokenizer. Only lengths and checksums leave the tasks.
 
 A null text is an empty one: one piece with the closing id only. Null ids and repeated rows are packed like others.
 """
@@ -16,6 +16,7 @@ A null text is an empty one: one piece with the closing id only. Null ids and re
 from __future__ import annotations
 
 import base64
+import json
 import re
 import zlib
 from array import array
@@ -48,6 +49,8 @@ class Encoder(dict):
             table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.one = tiktoken.Encoding("bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens={}).encode_ordinary
         self.path, self.tokenizer = whole, None
+        with open(whole, encoding="utf-8") as f:
+            self.named = tuple(t["content"] for t in json.load(f)["added_tokens"])
 
     def __missing__(self, part: str) -> bytes:
         if len(self) >= KEPT:
@@ -56,14 +59,13 @@ class Encoder(dict):
         return ids
 
     def encode(self, text: str) -> bytes:
-        if "  " not in text and COMMON.fullmatch(text):
+        if "  " not in text and COMMON.fullmatch(text) and not any(t in text for t in self.named):
             first, *rest = text.split(" ")
             return array("I", self.one(first)).tobytes() + b"".join(map(self.__getitem__, rest))
         if self.tokenizer is None:
             from tokenizers import Tokenizer
 
             self.tokenizer = Tokenizer.from_file(self.path)
-            self.tokenizer.encode_special_tokens = True
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
 

@@ -410,7 +410,6 @@ def check_packing(got, rows):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(packing.default_paths()[1])
-    t.encode_special_tokens = True
     want, places, total = Counter(), defaultdict(list), 0
     for i, text in rows:
         ids = t.encode(text or "", add_special_tokens=False).ids + [2]
@@ -447,9 +446,13 @@ def test_tokens_equal_the_tokenizer():
     from tokenizers import Tokenizer
 
     t, rng = Tokenizer.from_file(packing.default_paths()[1]), random.Random(11)
-    t.encode_special_tokens = True
     encode = packing.encoder(packing.default_paths()).encode
     letters = [chr(c) for c in [*range(9, 14), *range(0x1C, 0x260), 0x2009, 0x2019, 0x2028, 0x3000, 0x4E00, 0x1F600]]
+    fast = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000 and packing.COMMON.fullmatch(chr(c))]
+    assert len(fast) > 500
+    for c in fast:
+        for text in (c, f"a{c}b {c} {c}{c}1", f"{c}'s {c}a 1{c}", f"<|endoftext|>{c}"):
+            assert encode(text) == np.array(t.encode(text, add_special_tokens=False).ids, "<u4").tobytes(), repr(text)
     for n in range(4000):
         text = "".join(rng.choice(letters if n % 2 else letters[:100]) if rng.random() < 0.6 else rng.choice([" ", "a", "'s", "  ", "\n", " \n ", "1", "<|endoftext|>"]) for _ in range(rng.randint(0, 40)))
         assert encode(text) == np.array(t.encode(text, add_special_tokens=False).ids, "<u4").tobytes(), repr(text)
