@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import durable, read
+from .common import read
 
 
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -69,10 +69,10 @@ def op5_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .mixing import schedule, taken, word_count
+    from .mixing import taken, word_count
 
-    sized = durable(read(spark, sf_dir, "documents").select("doc_id", "source", word_count(F.col("text")).alias("size")), "sizes")
-    return schedule(sized, "size").select("doc_id", "size", F.col("__mix_size").alias("source_size"), F.col("__mix_target").alias("target"), taken("size").alias("taken"))
+    sized = read(spark, sf_dir, "documents").select("doc_id", "source", word_count(F.col("text")).alias("size"))
+    return taken(sized, "size").select("doc_id", "size", F.col("__mix_size").alias("source_size"), F.col("__mix_target").alias("target"), F.col("__mix_taken").alias("taken"))
 
 
 OP2_SQL = """

@@ -351,13 +351,25 @@ def test_targets(spark):
 
 def test_mixing_edges(odd):
     sized = odd.select("doc_id", "source", mixing.word_count(F.col("text")).alias("size"))
-    got = mixing.schedule(sized, "size").select("doc_id", "source", "size", F.col("__mix_target").alias("t"), mixing.taken("size").alias("taken")).collect()
+    got = mixing.taken(sized, "size").select("doc_id", "source", "size", F.col("__mix_target").alias("t"), F.col("__mix_taken").alias("taken")).collect()
     assert len(got) == len(ODD) and all(0 <= r.taken <= 2 * r["size"] for r in got)
     by = defaultdict(int)
     for r in got:
         by[r.source] += r.taken
     assert all(by[r.source] == math.floor(r.t) for r in got)
-    assert mixing.schedule(sized.limit(0), "size").count() == 0 and mixing.mixed(odd.limit(0)).count() == 0
+    assert mixing.taken(sized.limit(0), "size").count() == 0 and mixing.mixed(odd.limit(0)).count() == 0
+
+
+def test_the_mix_is_in_order_of_finish_time(docs):
+    sized = docs.select("doc_id", "source", mixing.word_count(F.col("text")).alias("size"))
+    got = sorted(mixing.served(sized, "size").collect(), key=lambda r: (r["__mix_total"]))
+    total, time = 0, 0.0
+    for r in got:
+        total += r["__mix_taken"]
+        assert r["__mix_total"] == total and r["__mix_finish"] >= time
+        time = r["__mix_finish"]
+    goals = {r.source: r["__mix_target"] for r in got}
+    assert total == sum(map(math.floor, goals.values())) <= 1.5 * sum(r["size"] for r in sized.collect()) < total + len(goals) + 1
 
 
 def test_mixed_serves_whole_documents_in_time_order(docs):
