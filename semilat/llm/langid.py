@@ -5,8 +5,8 @@ uniform one for "none of them" (`UNKNOWN`). Trigrams are counted over all labell
 every label is a language at every size; the driver gets at most BUCKETS counts a language. All statistics below cover all
 data, too.
 
-Grouped aggregation then sums the rows' text posteriors by declared language, by address suffix, and by host, domain and
-top domain. A declared language or suffix changes the odds by how much its rows' languages differ from all rows'. A host's
+Grouped aggregation then sums the rows' votes (text posteriors, weighed by how sure and how long they are) by declared language, by
+address suffix, and by host, domain and top domain. A declared language or suffix changes the odds by how much its rows' languages differ from all rows'. A host's
 prior is smoothed towards its domain's, that towards its top domain's, and that towards the whole table's; a row's own part
 in its host's sum is taken out. A row's score is the text's log likelihood (tempered, since trigrams overlap) plus the
 logarithms of these.
@@ -35,6 +35,7 @@ BUCKETS = 1 << BITS
 #: Languages whose counts a task holds at a time.
 HELD = 64
 TEMPER, SMOOTHING, UNKNOWN_PRIOR, ALPHA = 0.5, 5.0, 1e-3, 0.02
+HALF_VOTE = 50
 #: Against the uniform model this share of a language's trigrams may be any, so that new words don't make a text foreign.
 UNSEEN_SHARE = 0.2
 
@@ -109,8 +110,17 @@ def visible(page: str) -> str:
     return html.unescape(UNSEEN.sub(" ", page))
 
 
+def vote(ll: np.ndarray) -> np.ndarray:
+    """A text's posterior by language, times how far its entropy is below the greatest, and less for few trigrams (half at
+    HALF_VOTE): doubtful and short texts hardly vote."""
+    p = np.exp(TEMPER * (ll - ll.max()))
+    p /= p.sum()
+    n = -ll[-1] / np.log(BUCKETS)  # the last is the uniform model's
+    return p[:-1] * (1 + (p * np.log(np.maximum(p, 1e-300))).sum() / np.log(len(p))) * n / (n + HALF_VOTE)
+
+
 def scored(rows: DataFrame, text_col: str, model: Model, reader: Callable[[str], str] | None = None, drop_text: bool = False) -> DataFrame:
-    """rows with __ll, log likelihoods by language and of none, and __soft, the text's posterior; null without letters."""
+    """rows with __ll, log likelihoods by language and of none, and __soft, the text's vote; null without letters."""
     names = [c for c in rows.columns if not (drop_text and c == text_col)]
     kept = rows.select(*names, *([F.col(text_col)] if drop_text else []))
 
@@ -122,9 +132,8 @@ def scored(rows: DataFrame, text_col: str, model: Model, reader: Callable[[str],
                 lls.append(None)
                 softs.append(None)
             else:
-                p = np.exp(TEMPER * (ll[:-1] - ll[:-1].max()))
                 lls.append(np.delete(ll, -2))
-                softs.append((p / p.sum())[:-1])
+                softs.append(vote(ll[:-1]))
         kind = pa.list_(pa.float64())
         return pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(lls, kind), pa.array(softs, kind)], [*names, "__ll", "__soft"])
 
@@ -143,7 +152,8 @@ def identified(rows: DataFrame, text_col: str, model: Model, declared: Column |
     many, text = range(len(model.languages)), F.lit("")
     keys = {"__declared": F.coalesce(primary(declared), text) if declared is not None else text, "__suffix": F.coalesce(suffix, text) if suffix is not None else text, "__host": F.coalesce(F.concat(F.lit("="), F.lower(host)), text) if host is not None else text}
     rows = rows.withColumns(keys)
-    soft = scored(rows.select(*keys, text_col), text_col, model, reader, drop_text=True).where("__soft is not null")
+    found = durable(scored(rows, text_col, model, reader, drop_text), "scored")  # each text is read once
+    soft = found.where("__soft is not null")
     sums = [F.sum(F.get("__soft", F.lit(i))).alias(f"s{i}") for i in many]
     again = [F.sum(f"s{i}").alias(f"s{i}") for i in many]
     base = durable(soft.groupBy("__declared", "__suffix", "__host").agg(*sums), "evidence")
@@ -168,7 +178,6 @@ def identified(rows: DataFrame, text_col: str, model: Model, declared: Column |
     domains = hosts.groupBy("__domain", "__top").agg(added.alias("__d")).join(tops, "__top").select("__domain", "__top", smooth(F.col("__d"), F.col("__tp")).alias("__dp"))
     priors = durable(hosts.join(domains, ["__domain", "__top"]).select("__host", "__host_sum", "__dp"), "priors")
 
-    found = scored(rows, text_col, model, reader, drop_text)
     found = found.join(priors, "__host", "left").join(odds("__declared"), "__declared", "left").join(odds("__suffix"), "__suffix", "left")
     none = F.array(*[F.lit(0.0) for _ in many])
     others = F.zip_with(F.coalesce("__host_sum", none), F.coalesce("__soft", none), lambda a, b: F.greatest(a - b, F.lit(0.0)))

@@ -536,9 +536,62 @@ def test_languages_held_out(spark, sf_dir, docs):
     assert sum(r.language == r.declared for r in pages) >= 0.97 * len(pages)
 
 
+def plain_languages(rows, model):
+    """(language, confidence) of rows(text, declared, suffix, host), by dictionaries and lists."""
+    n, lls, votes = len(model.languages), [], []
+    for text, *_ in rows:
+        ll = model.log_likelihoods(text)
+        lls.append(None if ll is None else [*ll[:n], ll[n + 1]])
+        if ll is None:
+            votes.append([0.0] * n)
+        else:
+            p = [math.exp(langid.TEMPER * (x - max(ll[: n + 1]))) for x in ll[: n + 1]]
+            p = [x / sum(p) for x in p]
+            sure = 1 + sum(x * math.log(x) for x in p if x) / math.log(n + 1)
+            size = len(langid.trigrams(text))
+            votes.append([x * sure * size / (size + langid.HALF_VOTE) for x in p[:n]])
+    every = [1 + sum(v[i] for v in votes) for i in range(n)]
+    every = [x / sum(every) for x in every]
+    sums = defaultdict(lambda: [0.0] * n)
+    parts = lambda host: (host, ".".join(host.split(".")[-2:]), host.split(".")[-1])
+    for (_, declared, suffix, host), v in zip(rows, votes):
+        for key in (("d", declared), ("s", suffix), *zip("hmt", parts(host))):
+            sums[key] = [a + b for a, b in zip(sums[key], v)]
+    smooth = lambda s, to: [(a + langid.SMOOTHING * b) / (sum(s) + langid.SMOOTHING) for a, b in zip(s, to)]
+    out = []
+    for (_, declared, suffix, host), v, ll in zip(rows, votes, lls):
+        if ll is None:
+            out.append((langid.UNKNOWN, 0.0))
+            continue
+        h, m, t = parts(host)
+        prior = smooth(sums["m", m], smooth(sums["t", t], every))
+        prior = smooth([max(a - b, 0.0) for a, b in zip(sums["h", h], v)], prior)
+        score = [langid.TEMPER * a + math.log(b) for a, b in zip(ll, prior)]
+        for key in (("d", declared), ("s", suffix)):
+            if key[1]:
+                score = [a + math.log(b / c) for a, b, c in zip(score, smooth(sums[key], every), every)]
+        score.append(langid.TEMPER * ll[n] + math.log(langid.UNKNOWN_PRIOR))
+        best, name = max(zip(score, [*model.languages, langid.UNKNOWN]))
+        out.append((name, 1 / sum(math.exp(x - best) for x in score)))
+    return out
+
+
+def test_fusion_against_plain_code(spark, sf_dir, docs):
+    model, rows, ids = langid.fit(docs), [], []
+    for r in common.read(spark, sf_dir, "pages").collect():
+        host = (re.match(r"[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", r.url) or ["", ""])[1]
+        path = re.match(r"[^:]+://[^/]+/([a-zA-Z]{2})(?:[/?#]|$)", r.url)
+        declared = re.search(langid.DECLARED, r.html)
+        ids.append(r.page_id)
+        rows.append((langid.visible(r.html), declared[1].lower() if declared else "", host.split(".")[-1] + "/" + (path[1].lower() if path else ""), "=" + host.lower()))
+    got = {r.page_id: r for r in queries.op9_langid(spark, sf_dir).collect()}
+    for i, (name, sure) in zip(ids, plain_languages(rows, model)):
+        assert got[i].language == name and math.isclose(got[i].confidence, sure, rel_tol=1e-6)
+
+
 def test_evidence_decides_short_texts(spark, docs):
     model = langid.fit(docs)
-    rows = [(i, "des", f"{k}.{k}", k, k) for i, k in enumerate(["fr", "de", "es"] * 5)] + [(900 + i, long_, h, k, k) for i, (k, h, long_) in enumerate((r.lang, f"{r.lang}.{r.lang}", r.text) for r in docs.where("lang <> 'en'").limit(60).collect())]
+    rows = [(i, "des", f"{k}.{k}", k, k) for i, k in enumerate(["fr", "de", "es"] * 40)] + [(900 + i, long_, h, k, k) for i, (k, h, long_) in enumerate((r.lang, f"{r.lang}.{r.lang}", r.text) for r in docs.where("lang <> 'en'").limit(60).collect())]
     df = spark.createDataFrame(rows, "i long, text string, host string, declared string, want string")
     got = langid.identified(df, "text", model, F.col("declared"), F.col("declared"), F.col("host")).collect()
     assert all(r["__language"] == r.want for r in got)
