@@ -33,8 +33,8 @@ LOW, HOT_PAIRS = 3, 1 << 21
 #: The end of a text, as a symbol and as a token: a byte that UTF-8 never holds, so that all bytes and it are SYMBOLS.
 END = b"\xff"
 SYMBOLS = 256
-#: Bytes of texts, or symbols, handled at a time.
-CHUNK = 1 << 21
+#: Bytes of texts, or symbols, handled at a time, and pairs that a task holds before they leave.
+CHUNK, KEPT = 1 << 19, 1 << 21
 #: Pairs priced in one part.
 PART = 1 << 20
 DEPTH, HELD = 56, 60
@@ -123,7 +123,7 @@ def word_counts(rows: DataFrame) -> DataFrame:
     """rows(text, held_out) to (word, c, seen): occurrences in training documents and in all."""
 
     def run(batch: pa.RecordBatch):
-        for part in slices(batch, 8 * CHUNK):
+        for part in slices(batch, 16 * CHUNK):
             for held in (False, True):
                 texts_ = part.column("text").filter(pc.equal(part.column("held_out"), held))
                 if len(texts_):
@@ -190,17 +190,20 @@ def pair_counts(rows: DataFrame, order: int) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(distinct.view(np.int64)), pa.array(n)], ["key", "n"])
 
     def run(batches):
-        kept = (np.zeros(0, np.uint64), np.zeros(0, np.int64))  # pairs of several chunks are summed here before they leave
+        kept, size = [], 0  # of several chunks, summed before they leave
         for batch in batches:
-            held = np.array(batch.column("held_out").to_pylist(), np.uint64) << np.uint64(HELD)
-            for doc, key in symbols(map(framed, texts(batch.column("text"))), order):
-                distinct, n = np.unique(key | held[doc], return_counts=True)
-                kept = total(np.concatenate([kept[0], distinct]), np.concatenate([kept[1], n]))
-                if len(kept[0]) >= CHUNK:
-                    yield out(*kept)
-                    kept = (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-        if len(kept[0]):
-            yield out(*kept)
+            for part in slices(batch):
+                held = np.array(part.column("held_out").to_pylist(), np.uint64) << np.uint64(HELD)
+                for doc, key in symbols(map(framed, texts(part.column("text"))), order):
+                    kept.append(np.unique(key | held[doc], return_counts=True))
+                    size += len(kept[-1][0])
+                    if size >= KEPT:
+                        kept = [total(*map(np.concatenate, zip(*kept)))]
+                        if (size := len(kept[0][0])) >= KEPT // 2:
+                            yield out(*kept[0])
+                            kept, size = [], 0
+        if kept:
+            yield out(*total(*map(np.concatenate, zip(*kept))))
 
     raw = rows.select("text", "held_out").mapInArrow(run, "key long, n long")
     one = raw.select(F.expr(f"key & {(1 << HELD) - 1}L").alias("key"), F.expr(f"if(key >= {1 << HELD}L, 0L, n)").alias("c"), F.col("n").alias("seen"))
