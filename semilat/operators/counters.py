@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.windows import prefix
+
 
 def deltas(log: DataFrame, obj: str, amount: str) -> DataFrame:
     """The log as deltas (obj, replica, op, component): each carries its replica's new total."""
-    w = Window.partitionBy(obj, "replica").orderBy("op").rowsBetween(Window.unboundedPreceding, 0)
-    return log.select(F.col(obj).alias("obj"), "replica", "op", F.sum(amount).over(w).alias("component"))
+    rows = log.select(F.col(obj).alias("obj"), "replica", "op", F.col(amount).alias("__amount"))
+    return prefix(rows, ["obj", "replica"], "op", {"component": F.col("__amount")}).drop("__amount")
 
 
 def merged(components: DataFrame, *keys: str) -> DataFrame:

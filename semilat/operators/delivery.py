@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.windows import numbered as places
+
 
 def numbered(arrivals: DataFrame) -> DataFrame:
     """Distinct dots with their rank at their replica: the gapless prefix is where counter and rank agree."""
-    dots = arrivals.select("replica", "ctr").distinct()
-    return dots.withColumn("rank", F.row_number().over(Window.partitionBy("replica").orderBy("ctr")))
+    return places(arrivals.select("replica", "ctr").distinct(), ["replica"], "ctr", "rank")
 
 
 def frontier(arrivals: DataFrame) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.windows import prefix
+
 
 def map_values(entries: DataFrame, keys: list[str], tag: Column, value: str) -> DataFrame:
     """Visible scalars of map entries: the greatest tag wins, a null value removes the key."""
@@ -22,9 +24,13 @@ def verified(objects: DataFrame, content: Column, size: Column, sha256: Column)
 
 
 def nearest_rank(rows: DataFrame, key: str, value: str, points: dict[str, float]) -> DataFrame:
-    """Exact nearest-rank percentiles and the greatest value of each key."""
-    cuts = [F.expr(f"percentile_disc({p}) within group (order by {value})").cast(rows.schema[value].dataType).alias(n) for n, p in points.items()]
-    return rows.groupBy(key).agg(F.count("*").alias("n"), *cuts, F.max(value).alias("most"))
+    """Exact nearest-rank percentiles and the greatest value of each key. Equal values are counted before they are ranked."""
+    counts = rows.groupBy(key, value).agg(F.count(value).alias("__c"), F.count("*").alias("__r"))
+    ranked = prefix(counts, [key], value, {"__upto": F.col("__c")})
+    size = counts.groupBy(F.col(key).alias("__key")).agg(F.sum("__c").alias("__n"), F.sum("__r").alias("n"))
+    placed = ranked.join(size, F.col(key).eqNullSafe(F.col("__key")))
+    cuts = [F.min(F.when(F.col("__upto") >= F.greatest(F.lit(1), F.ceil(F.col("__n") * F.lit(p))), F.col(value))).alias(name) for name, p in points.items()]
+    return placed.groupBy(key).agg(F.first("n").alias("n"), *cuts, F.max(value).alias("most"))
 
 
 def regressions(rows: DataFrame, key: str, value: str, is_base: Column, least: int, percent: int) -> DataFrame:

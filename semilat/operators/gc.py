@@ -2,18 +2,22 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.windows import numbered
+
 
 def stable(acks: DataFrame, members: DataFrame) -> DataFrame:
     """Tags acknowledged by all members of the current epoch (relational division). Acks of other epochs don't count.
 
     acks(epoch, member, tag), members(epoch, member)
     """
-    current = members.where(F.col("epoch") == F.lit(members.agg(F.max("epoch")).first()[0])).select("epoch", "member").distinct()
-    size = current.count()
-    return acks.join(F.broadcast(current) if size <= 10_000 else current, ["epoch", "member"], "left_semi").groupBy("tag").agg(F.count_distinct("member").alias("n")).where(F.col("n") == size).select("tag")
+    newest = members.agg(F.max("epoch").alias("newest"))
+    current = members.join(newest, members.epoch == newest.newest).select("epoch", "member").distinct()
+    size = current.agg(F.count("*").alias("size"))
+    got = acks.join(current, ["epoch", "member"], "left_semi").groupBy("tag").agg(F.count_distinct("member").alias("n"))
+    return got.join(size, F.col("n") == F.col("size")).select("tag")
 
 
 def collectable(tombs: DataFrame, acknowledged: DataFrame, keep: int = 0, most: int | None = None, group: str | None = None) -> DataFrame:
@@ -22,11 +26,10 @@ def collectable(tombs: DataFrame, acknowledged: DataFrame, keep: int = 0, most:
     if not keep and most is None:
         return found
     keys = [group] if group else []
-    size = found.groupBy(*keys).agg(F.count("*").alias("__n"))
-    ranked = found.withColumn("__k", F.row_number().over(Window.partitionBy(*keys).orderBy("op")))
-    ranked = ranked.join(size, group) if group else ranked.crossJoin(size)
+    size = found.groupBy(*[F.col(k).alias("__key") for k in keys]).agg(F.count("*").alias("__n"))
+    ranked = numbered(found, keys, "op", "__k").join(size, F.col(group).eqNullSafe(F.col("__key")) if group else F.lit(True))
     limit = F.col("__n") - keep
-    return ranked.where(F.col("__k") <= (F.least(limit, F.lit(most)) if most is not None else limit)).drop("__k", "__n")
+    return ranked.where(F.col("__k") <= (F.least(limit, F.lit(most)) if most is not None else limit)).drop("__k", "__n", "__key")
 
 
 def unsafe(nodes: DataFrame, selected: DataFrame, scope: str) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.windows import prefix
+
 
 def latest(entries: DataFrame, keys: list[str], values: list[str], tag: Column) -> DataFrame:
     """The entry with the greatest tag of each key, with its tag. Partial aggregates travel, not entries."""
@@ -45,6 +47,5 @@ def contexts_at_rounds(writes: DataFrame, every: int, obj: str = "obj") -> DataF
 
 def running_clock(events: DataFrame, replica: str, order: str, physical: str) -> DataFrame:
     """Hybrid clock readings of local events: wall is the greatest physical time so far, logical counts within it."""
-    w = Window.partitionBy(replica).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    walled = events.withColumn("wall", F.max(physical).over(w))
+    walled = prefix(events, [replica], order, tops={"wall": F.col(physical)})
     return walled.withColumn("logical", F.row_number().over(Window.partitionBy(replica, "wall").orderBy(order)).cast("long") - 1)

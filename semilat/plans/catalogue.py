@@ -202,7 +202,12 @@ def hlc_tags(spark, sf_dir):
     return registers.running_clock(hours, "replica", "ctr", "h").select("replica", "ctr", "wall", "logical")
 
 
-@query()
+HOURS = "h as (select replica, ctr, ms // 3600000 h, case when op % 4 = 0 then ms // 3600000 + op % 3 end sw, case when op % 4 = 0 then op % 7 end sl from ops)"
+
+
+@query(f"""with {HOURS}, w as (select *, max(greatest(h, coalesce(sw, 0))) over (partition by replica order by ctr) wall from h),
+l as (select *, greatest(case when row_number() over (partition by replica, wall order by ctr) = 1 then 0 end, case when sw = wall then sl + 1 end) - ctr lift from w)
+select replica, ctr, wall, (max(lift) over (partition by replica, wall order by ctr) + ctr)::bigint logical from l""")
 def hlc_witness(spark, sf_dir):
     hours = ops(spark, sf_dir).withColumn("h", F.floor(F.col("ms") / 3600000))
     heard = hours.withColumns({"wall": F.when(F.col("op") % 4 == 0, F.col("h") + F.col("op") % 3), "logical": F.when(F.col("op") % 4 == 0, F.col("op") % 7)})
@@ -283,7 +288,9 @@ def merkle_diff(spark, sf_dir):
     return merkle.differences(order_leaves(spark, sf_dir), order_leaves(spark, sf_dir, changed=True))
 
 
-@query()
+@query(f"""with recursive l as ({LEAVES}), n as (select tree, list(sha256(unhex('00') || unhex('0C') || encode(key) || unhex(digest)) order by key) nodes from l group by tree),
+r as (select tree, nodes from n union all select tree, list_transform(range((len(nodes) + 1) // 2), lambda i: sha256(unhex('01') || unhex(nodes[2 * i + 1]) || unhex(coalesce(nodes[2 * i + 2], repeat('00', 32))))) from r where len(nodes) > 1)
+select tree, nodes[1] root from r where len(nodes) = 1""", with_ops=False)
 def merkle_root(spark, sf_dir):
     return merkle.roots(order_leaves(spark, sf_dir), "tree")
 
@@ -417,7 +424,7 @@ BEATS = "with l as (select elem, max(op) clock, arg_max(obj, op) state, arg_max(
 def beats(spark, sf_dir) -> tuple[DataFrame, object]:
     log_ = ops(spark, sf_dir)
     latest = presence.latest_presence(log_.select("elem", F.col("op").alias("clock"), F.when(F.col("obj") != "error", F.col("obj")).alias("state"), F.col("ms").alias("seen")), "elem", "clock", ["state", "seen"])
-    return latest, F.lit(log_.agg(F.max("ms")).first()[0])
+    return latest.join(log_.agg(F.max("ms").alias("now_ms")), F.lit(True)), F.col("now_ms")
 
 
 @query(BEATS + " select elem, clock, state from l, n where state <> 'error' and now_ms - seen <= 3600000")

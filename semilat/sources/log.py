@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.windows import numbered
+
 DOT = ["replica", "ctr"]
 
 
@@ -16,8 +18,7 @@ def appended(arrivals: DataFrame, group: str, order: str, payload) -> DataFrame:
     rest = [c for c in arrivals.columns if c not in (*DOT, group)]
     first = arrivals.groupBy(group, *DOT).agg(F.min_by(F.struct(*rest), F.struct(order)).alias("__row"))
     rows = first.select(group, *DOT, *[F.col(f"__row.{c}").alias(c) for c in rest])
-    seq = F.row_number().over(Window.partitionBy(group).orderBy(order, *DOT)).cast("long")
-    return rows.withColumn("seq", seq).withColumn("digest", F.sha2(payload.cast("binary"), 256))
+    return numbered(rows, [group], order, "seq", tuple(DOT)).withColumn("digest", F.sha2(payload.cast("binary"), 256))
 
 
 def dot_conflicts(arrivals: DataFrame, payload) -> DataFrame:
@@ -31,8 +32,9 @@ def replay(log: DataFrame, group: str, after: int, most: int | None = None) -> D
     rest = log.where(F.col("seq") > after)
     if most is None:
         return rest
-    size = F.count("*").over(Window.partitionBy(group))
-    return rest.withColumn("__fits", F.assert_true(size <= most, F.lit("replay is larger than allowed"))).where("__fits is null").drop("__fits")
+    sizes = rest.groupBy(F.col(group).alias("__group")).agg(F.count("*").alias("__size"))
+    fits = F.assert_true(F.col("__size") <= most, F.lit("replay is larger than allowed"))
+    return rest.join(sizes, F.col(group).eqNullSafe(F.col("__group"))).withColumn("__fits", fits).where("__fits is null").drop("__fits", "__group", "__size")
 
 
 def catch_up(log: DataFrame, vector: DataFrame) -> DataFrame:

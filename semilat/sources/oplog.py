@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.tags import millis
+from ..functions.windows import numbered
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,15 +16,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def ops(spark: SparkSession, sf_dir: str, replicas: int = 5) -> DataFrame:
     """op, replica, obj, elem, amt (cents), ms and ctr, the number of the operation at its replica."""
     events = table(spark, sf_dir, "events")
-    return events.select(
+    log = events.select(
         F.col("event_id").alias("op"),
         F.concat(F.lit("r"), (F.col("user_id") % replicas).cast("string")).alias("replica"),
         F.col("event_type").alias("obj"),
         F.col("user_id").alias("elem"),
         F.round(F.col("value") * 100).cast("long").alias("amt"),
         millis("ts").alias("ms"),
-        F.row_number().over(Window.partitionBy(F.col("user_id") % replicas).orderBy("event_id")).cast("long").alias("ctr"),
     )
+    return numbered(log, ["replica"], "op", "ctr")
 
 
 def delivered(log: DataFrame, every: int = 3) -> DataFrame:

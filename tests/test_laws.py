@@ -165,3 +165,60 @@ def test_inbox_rule():
 def test_presence_stream(spark):
     beats = spark.createDataFrame([("a", 1, "x", 10), ("a", 3, None, 12), ("a", 2, "y", 99), ("b", 1, "z", 5)], "actor string, clock long, state string, seen long")
     assert rows(live.presence(spark, beats)) == [("a", 3, None, 12), ("b", 1, "z", 5)]
+
+
+def test_witnessed_equals_the_fold(spark):
+    rng = random.Random(7)
+    events = [(f"r{r}", i + 1, rng.randrange(6) * (r > 0), *((rng.randrange(8), rng.randrange(4)) if rng.random() < 0.4 and r > 0 else (None, None))) for r in range(3) for i in range(120)]
+    df = spark.createDataFrame(events, "replica string, ctr long, h long, wall long, logical long")
+    got = {(r.replica, r.ctr): (r.wall, r.logical) for r in clocks.witnessed(df, "replica", "ctr", "h", "wall", "logical").collect()}
+    for r in range(3):
+        mine = [e for e in events if e[0] == f"r{r}"]
+        assert [got[e[0], e[1]] for e in mine] == clocks.fold([e[2:] for e in mine])
+
+
+def test_running_totals_over_blocks(spark):
+    from semilat.functions.windows import numbered, prefix
+
+    rng = random.Random(8)
+    data = [(rng.choice(["a", "b", None]), i * 7, rng.randrange(9)) for i in range(200)]
+    df = spark.createDataFrame(data, "k string, at long, v long")
+    got = {r["at"]: r for r in numbered(prefix(df, ["k"], "at", {"s": F.col("v")}, {"m": F.col("v")}, width=100), ["k"], "at", "n").collect()}
+    for key in ("a", "b", None):
+        mine = [x for x in data if x[0] == key]
+        for n, (_, at, _) in enumerate(mine):
+            seen = [v for _, _, v in mine[: n + 1]]
+            assert (got[at].s, got[at].m, got[at].n) == (sum(seen), max(seen), n + 1)
+    assert numbered(df.limit(0), ["k"], "at", "n").count() == 0
+
+
+def test_moves_against_plain_code(spark, sf_dir):
+    from semilat.plans import catalogue
+
+    rows = catalogue.ops(spark, sf_dir).collect()
+    want = []
+    for obj in {r.obj for r in rows}:
+        mine = [r for r in rows if r.obj == obj]
+        ids, latest = {r.elem for r in mine}, {}
+        for r in mine:
+            if r.op > latest.get(r.elem, (-1,))[0]:
+                latest[r.elem] = (r.op, r.elem * 7 % 120, r.ctr % 10)
+        info = {i: latest[i] if latest[i][0] > i else (i, None, 0) for i in ids}
+        parent = {}
+        for i in sorted(ids, key=lambda i: (-info[i][0], info[i][2], i)):
+            anchor = info[i][1] if info[i][1] in ids else None
+            above, at = set(), anchor
+            while at is not None and at not in above:
+                above.add(at)
+                at = parent.get(at)
+            parent[i] = None if i in above else anchor
+        out = []
+
+        def walk(node):
+            for child in sorted((i for i in ids if parent[i] == node), key=lambda i: (-info[i][0], info[i][2], -i)):
+                out.append(child)
+                walk(child)
+
+        walk(None)
+        want += [(obj, i, n) for n, i in enumerate(out, 1)]
+    assert sorted(map(tuple, catalogue.QUERIES["movelist_order"](spark, sf_dir).collect())) == sorted(want)
