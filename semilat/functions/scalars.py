@@ -18,10 +18,14 @@ def json_scalar(text: Column) -> Column:
 
 
 def uvarint(n: Column) -> Column:
-    """LEB128 of a number below 2**21."""
+    """LEB128 of a number that is not negative: at most nine bytes of seven bits."""
     byte = lambda x: F.unhex(F.lpad(F.hex(x), 2, "0"))
-    low, mid, high = n % 128, F.shiftright(n, 7) % 128, F.shiftright(n, 14)
-    return F.when(n < 128, byte(low)).when(n < 16384, F.concat(byte(low + 128), byte(mid))).otherwise(F.concat(byte(low + 128), byte(mid + 128), byte(high)))
+    n = n.cast("long")
+    group = lambda i, more: byte(F.shiftright(n, 7 * i) % 128 + more)
+    out = F.concat(*[group(i, 128) for i in range(8)], group(8, 0))
+    for size in range(8, 0, -1):
+        out = F.when(n < (1 << 7 * size), F.concat(*[group(i, 128) for i in range(size - 1)], group(size - 1, 0))).otherwise(out)
+    return out
 
 
 def digest(value: Column) -> Column:

@@ -33,3 +33,9 @@ def signed_value(components: DataFrame, obj: str) -> DataFrame:
     """Value of up-down counters from deltas (obj, replica, sign, component), sign +1 or -1."""
     state = components.groupBy(obj, "replica", "sign").agg(F.max("component").alias("component"))
     return state.groupBy(obj).agg(F.sum(F.col("sign") * F.col("component")).alias("v"))
+
+
+def bounded(state: DataFrame, most: int) -> DataFrame:
+    """(obj, v, overflow): the value, or null where it is beyond what its type holds."""
+    total = F.sum(F.col("component").cast("decimal(38,0)"))
+    return state.groupBy("obj").agg(F.when(total <= most, total.cast("long")).alias("v"), (total > most).alias("overflow"))

@@ -49,3 +49,8 @@ def running_clock(events: DataFrame, replica: str, order: str, physical: str) ->
     """Hybrid clock readings of local events: wall is the greatest physical time so far, logical counts within it."""
     walled = prefix(events, [replica], order, tops={"wall": F.col(physical)})
     return walled.withColumn("logical", F.row_number().over(Window.partitionBy(replica, "wall").orderBy(order)).cast("long") - 1)
+
+
+def checked(entries: DataFrame, fits: Column) -> DataFrame:
+    """entries with `ok`: whether the value is as its schema says; the others are for quarantine, not for readers."""
+    return entries.withColumn("ok", F.coalesce(fits, F.lit(False)))

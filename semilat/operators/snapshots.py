@@ -27,3 +27,31 @@ def diagnostics(kind: str, elements: DataFrame, tombstones: DataFrame | None = N
     if tombstones is None:
         return counted.withColumn("tombstone_count", F.lit(0).cast("long"))
     return counted.crossJoin(tombstones.agg(F.count("*").alias("tombstone_count")))
+
+
+def checkpoint(state: DataFrame, name: str, format: int, upto: int) -> DataFrame:
+    """Rows(name, format, upto, obj, replica, component, digest) of a named checkpoint; the digest is over all its rows."""
+    body = state.select("obj", "replica", "component")
+    digest = body.agg(row_digest().alias("digest"))
+    return body.join(digest, F.lit(True)).select(F.lit(name).alias("name"), F.lit(format).alias("format"), F.lit(upto).alias("upto"), "*")
+
+
+def row_digest():
+    """A digest of a set of rows that does not depend on their order and adds up over partitions."""
+    return F.sum(F.xxhash64("obj", "replica", "component").cast("decimal(38,0)")).cast("string")
+
+
+def latest_checkpoint(held: DataFrame, name: str, migrations: dict) -> DataFrame:
+    """The newest checkpoint of a name that is whole and of a known format, brought to the newest one.
+
+    migrations: for each format, the component as the newest format has it.
+    """
+    keys = ["format", "upto"]
+    mine = held.where((F.col("name") == name) & F.col("format").isin(list(migrations)))
+    whole = mine.groupBy(*keys).agg(row_digest().alias("found"), F.min("digest").alias("given")).where("found = given")
+    newest = whole.agg(F.max(F.struct("upto", "format")).alias("n")).select("n.*")
+    chosen = mine.join(newest, keys, "left_semi")
+    moved = F.lit(None).cast("long")
+    for format, move in migrations.items():
+        moved = F.when(F.col("format") == format, move(F.col("component"))).otherwise(moved)
+    return chosen.withColumn("component", moved)

@@ -519,3 +519,6 @@ def stream_counter_value(spark, sf_dir):
 @query(RANKED + " select replica, coalesce(max(case when ctr = k then ctr end), 0)::bigint frontier, count(*) filter (ctr <> k) pending from n group by replica")
 def stream_inbox(spark, sf_dir):
     return live.inbox(spark, lossy(ops(spark, sf_dir)).select("replica", "ctr"))
+
+
+from . import protocol  # noqa: E402, F401  (registers further queries)
