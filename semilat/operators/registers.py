@@ -54,3 +54,10 @@ def running_clock(events: DataFrame, replica: str, order: str, physical: str) ->
 def checked(entries: DataFrame, fits: Column) -> DataFrame:
     """entries with `ok`: whether the value is as its schema says; the others are for quarantine, not for readers."""
     return entries.withColumn("ok", F.coalesce(fits, F.lit(False)))
+
+
+def dots(values: DataFrame, obj: str, value: str) -> DataFrame:
+    """(obj, dots, v): a multi-value register's values in order of their dots, as text, and its value if it has just one."""
+    rows = F.array_sort(F.collect_list(F.struct("replica", "ctr", value)))
+    text = F.array_join(F.transform(rows, lambda r: F.concat(r["replica"], F.lit(":"), r["ctr"].cast("string"), F.lit("="), r[value].cast("string"))), ",")
+    return values.groupBy(obj).agg(text.alias("dots"), F.when(F.count("*") == 1, F.max(value)).alias("v"))

@@ -72,9 +72,13 @@ def chunked(docs: DataFrame, doc: str, text: str, size: int = 64) -> DataFrame:
     return at.select(doc, F.col("id").cast("long").alias("id"), F.when(F.col("id") > 0, F.col("id").cast("long") - 1).alias("parent"), run.alias("run"))
 
 
-def without_every(run: Column, first: Column, every: int) -> Column:
-    """A run without the code points whose place in the text (from 1, `first` being the run's) is a multiple of `every`."""
-    return F.array_join(F.filter(F.split(run, ""), lambda c, i: (first + i) % every != 0), "")
+def shown(runs: DataFrame, tombs: DataFrame, doc: str) -> DataFrame:
+    """(doc, id, shown) of runs(doc, id, run): each run without the characters whose tombstones(doc, id, place) have come.
+    place counts within the run, from 0; a tombstone without its run waits unseen."""
+    gone = tombs.groupBy(F.col(doc).alias("__doc"), F.col("id").alias("__id")).agg(F.collect_set("place").alias("__gone"))
+    held = runs.join(gone, (F.col(doc) == F.col("__doc")) & (F.col("id") == F.col("__id")), "left")
+    left = F.array_join(F.filter(F.split("run", ""), lambda c, i: ~F.array_contains("__gone", i)), "")
+    return held.select(doc, "id", F.when(F.col("__gone").isNull(), F.col("run")).otherwise(left).alias("shown"))
 
 
 def text_of(placed: DataFrame, doc: str, piece: str) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 
 def visible(nodes: DataFrame, tombs: DataFrame, levels: int = 100) -> DataFrame:
@@ -32,3 +33,39 @@ def ancestry(edges: DataFrame, heads: DataFrame, levels: int = 1000) -> DataFram
         edges=edges,
         heads=heads,
     )
+
+
+def paths(nodes: DataFrame, tag: str, digits: int = 9, levels: int = 100) -> DataFrame:
+    """(id, path) of nodes(id, parent, tag): paths in order are the preorder with later siblings first."""
+    step = f"lpad(cast({10**digits - 1} - {tag} as string), {digits}, '0')"
+    return nodes.sparkSession.sql(
+        f"""
+        WITH RECURSIVE walk MAX RECURSION LEVEL {int(levels)} AS (
+          SELECT id, {step} AS path FROM {{nodes}} WHERE parent IS NULL
+          UNION ALL
+          SELECT n.id, concat(w.path, '/', {step.replace(tag, "n." + tag)}) FROM walk w JOIN {{nodes}} n ON n.parent = w.id)
+        SELECT id, path FROM walk
+        """,
+        nodes=nodes,
+    )
+
+
+def unreachable(nodes: DataFrame, levels: int = 100) -> DataFrame:
+    """(id, problem) of nodes(id, parent) that no root reaches: below a missing parent they wait, else they hang on a cycle."""
+    have = nodes.select(F.col("id").alias("__have"))
+    missing = nodes.where("parent is not null").join(have, F.col("parent") == F.col("__have"), "left_anti").select("id")
+    reach = """
+        WITH RECURSIVE seen MAX RECURSION LEVEL {levels} AS (
+          SELECT id FROM {{start}} UNION ALL SELECT n.id FROM seen s JOIN {{nodes}} n ON n.parent = s.id)
+        SELECT id AS __seen FROM seen
+        """.format(levels=int(levels))
+    fine = nodes.sparkSession.sql(reach, start=nodes.where("parent is null").select("id"), nodes=nodes)
+    late = nodes.sparkSession.sql(reach, start=missing, nodes=nodes).select(F.col("__seen").alias("__late"))
+    left = nodes.select("id").join(fine, F.col("id") == F.col("__seen"), "left_anti").join(late, F.col("id") == F.col("__late"), "left")
+    return left.select("id", F.when(F.col("__late").isNotNull(), "waits").otherwise("cycle").alias("problem"))
+
+
+def added(adds: DataFrame, live: DataFrame) -> DataFrame:
+    """adds(id, parent) with `accepted`: whether the parent is a live node; others are rejected."""
+    known = live.select(F.col("id").alias("__live"))
+    return adds.join(known, F.col("parent") == F.col("__live"), "left").withColumn("accepted", F.col("__live").isNotNull()).drop("__live")

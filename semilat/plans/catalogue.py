@@ -35,7 +35,10 @@ def query(sql: str | None = None, with_ops: bool = True):
         QUERIES[f.__name__] = f
         if sql:
             text = sql.strip()
-            ORACLES[f.__name__] = (f"with {OPS}" + (f", {text[5:]}" if text.startswith("with ") else f" {text}")) if with_ops else text
+            if with_ops:
+                first = next((w for w in ("with recursive ", "with ") if text.startswith(w)), "")
+                text = f"{first or 'with '}{OPS}{', ' if first else ' '}{text[len(first):]}"
+            ORACLES[f.__name__] = text
         return f
 
     return register
@@ -378,8 +381,9 @@ def rga_text(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     size = 64
     runs = sequences.chunked(docs, "doc_id", "text", size)
-    shown = runs.withColumn("shown", sequences.without_every(F.col("run"), (F.col("id") * size + 1).cast("int"), 7))
-    placed = sequences.ordered(runs, "doc_id").join(shown, ["doc_id", "id"])
+    every = F.explode(F.sequence(F.lit(6), F.greatest(F.lit(6), F.char_length("text") - 1), F.lit(7))).alias("place")
+    tombs = docs.select("doc_id", every).select("doc_id", F.floor(F.col("place") / size).alias("id"), (F.col("place") % size).cast("int").alias("place"))
+    placed = sequences.ordered(runs, "doc_id").join(sequences.shown(runs, tombs, "doc_id"), ["doc_id", "id"])
     return sequences.text_of(placed, "doc_id", "shown")
 
 
@@ -516,9 +520,14 @@ def stream_counter_value(spark, sf_dir):
     return live.counter_value(spark, running(spark, sf_dir))
 
 
+@query("select elem actor, max(op) clock, arg_max(obj, op) state, arg_max(ms, op) seen from ops group by elem")
+def stream_presence(spark, sf_dir):
+    return live.presence(spark, ops(spark, sf_dir).select(F.col("elem").alias("actor"), F.col("op").alias("clock"), F.col("obj").alias("state"), F.col("ms").alias("seen")))
+
+
 @query(RANKED + " select replica, coalesce(max(case when ctr = k then ctr end), 0)::bigint frontier, count(*) filter (ctr <> k) pending from n group by replica")
 def stream_inbox(spark, sf_dir):
     return live.inbox(spark, lossy(ops(spark, sf_dir)).select("replica", "ctr"))
 
 
-from . import protocol  # noqa: E402, F401  (registers further queries)
+from . import editing, protocol  # noqa: E402, F401  (they register further queries)

@@ -22,6 +22,8 @@ def shared(spark: SparkSession, kind: str) -> str:
     """A new path in the folder that all executors share; one is set only where the session has none."""
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp()
         spark.sparkContext.setCheckpointDir(base)
     return f"{base.rstrip('/')}/{kind}-{uuid.uuid4().hex}"
@@ -60,28 +62,35 @@ def counter_value(spark: SparkSession, deltas: DataFrame) -> DataFrame:
     return last_of(spark, live, "update", ["obj", "replica"]).groupBy("obj").agg(F.sum("component").alias("v"))
 
 
-def advance(frontier: int, pending: set[int], counters) -> tuple[int, set[int]]:
-    """The frontier after counters arrived in any order: it moves only over a gapless prefix."""
-    pending = pending | {c for c in counters if c > frontier}
-    while frontier + 1 in pending:
-        frontier += 1
-        pending.remove(frontier)
-    return frontier, pending
+def advance(frontier: int, waiting: list[tuple[int, int]], counters) -> tuple[int, list[tuple[int, int]]]:
+    """The frontier after counters arrived in any order, and the runs (first, last) that wait beyond a gap.
+
+    The frontier moves only over a gapless prefix. What waits is kept as runs: one lost counter leaves one of them.
+    """
+    out: list[tuple[int, int]] = []
+    for first, last in sorted([*map(tuple, waiting), *((c, c) for c in set(counters) if c > frontier)]):
+        if out and first <= out[-1][1] + 1:
+            out[-1] = (out[-1][0], max(out[-1][1], last))
+        else:
+            out.append((first, last))
+    if out and out[0][0] <= frontier + 1:
+        frontier = max(frontier, out.pop(0)[1])
+    return frontier, out
 
 
 def inbox(spark: SparkSession, arrivals: DataFrame) -> DataFrame:
     """(replica, frontier, pending): per-replica state of what was delivered without a gap and what waits."""
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        frontier, waiting = state.get if state.exists else (0, [])
-        pending = set(waiting)
+        frontier, firsts, lasts = state.get if state.exists else (0, [], [])
+        runs = list(zip(firsts, lasts))
         for rows in batches:
-            frontier, pending = advance(frontier, pending, rows["ctr"].tolist())
-        state.update((frontier, sorted(pending)))
-        yield pd.DataFrame({"replica": [key[0]], "frontier": [frontier], "pending": [len(pending)]})
+            frontier, runs = advance(frontier, runs, rows["ctr"].tolist())
+        state.update((frontier, [a for a, _ in runs], [b for _, b in runs]))
+        yield pd.DataFrame({"replica": [key[0]], "frontier": [frontier], "pending": [sum(b - a + 1 for a, b in runs)]})
 
     stream = source(spark, arrivals)
-    found = stream.groupBy("replica").applyInPandasWithState(step, "replica string, frontier long, pending long", "frontier long, waiting array<long>", "update", GroupStateTimeout.NoTimeout)
+    found = stream.groupBy("replica").applyInPandasWithState(step, "replica string, frontier long, pending long", "frontier long, firsts array<long>, lasts array<long>", "update", GroupStateTimeout.NoTimeout)
     return last_of(spark, found, "update", ["replica"])
 
 

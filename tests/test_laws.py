@@ -157,9 +157,10 @@ def test_scalars(spark):
 
 
 def test_inbox_rule():
-    assert live.advance(0, set(), [2, 3, 5]) == (0, {2, 3, 5})
-    assert live.advance(0, {2, 3, 5}, [1, 1, 2]) == (3, {5})
-    assert live.advance(3, {5}, [4, 2]) == (5, set())
+    assert live.advance(0, [], [2, 3, 5]) == (0, [(2, 3), (5, 5)])
+    assert live.advance(0, [(2, 3), (5, 5)], [1, 1, 2]) == (3, [(5, 5)])
+    assert live.advance(3, [(5, 5)], [4, 2]) == (5, [])
+    assert live.advance(3, [], [1, 2]) == (3, [])
 
 
 def test_presence_stream(spark):
@@ -222,3 +223,29 @@ def test_moves_against_plain_code(spark, sf_dir):
         walk(None)
         want += [(obj, i, n) for n, i in enumerate(out, 1)]
     assert sorted(map(tuple, catalogue.QUERIES["movelist_order"](spark, sf_dir).collect())) == sorted(want)
+
+
+def test_undo_and_redo():
+    from semilat.operators import editing
+
+    assert editing.undo(["do", "do", "undo", "undo", "redo"]) == [True, False, False, False, False]
+    assert editing.undo(["undo", "do", "undo", "do", "redo"]) == [False, False, False, True, False]
+
+
+def test_fetch_is_all_or_error(spark):
+    from semilat.operators import protocol
+
+    log_ = spark.createDataFrame([(1, "a"), (2, "b")], "k long, v string")
+    ask = lambda *ks: protocol.fetched(log_, spark.createDataFrame([(k,) for k in ks], "k long"), ["k"]).collect()
+    assert [tuple(r) for r in ask(2)] == [(2, "b")]
+    with pytest.raises(Exception, match="missing"):
+        ask(2, 3)
+
+
+def test_checksums_of_long_data():
+    table = frames.crc_table()
+    for size in (0, 1, 4095, 4096, 5000, 70001):
+        data, crc = random.Random(size).randbytes(size), 0xFFFFFFFF
+        for b in data:
+            crc = table[(crc ^ b) & 255] ^ crc >> 8
+        assert frames.crc32c(data) == crc ^ 0xFFFFFFFF
