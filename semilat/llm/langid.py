@@ -152,8 +152,10 @@ def identified(rows: DataFrame, text_col: str, model: Model, declared: Column |
     many, text = range(len(model.languages)), F.lit("")
     keys = {"__declared": F.coalesce(primary(declared), text) if declared is not None else text, "__suffix": F.coalesce(suffix, text) if suffix is not None else text, "__host": F.coalesce(F.concat(F.lit("="), F.lower(host)), text) if host is not None else text}
     rows = rows.withColumns(keys)
-    found = durable(scored(rows, text_col, model, reader, drop_text), "scored")  # each text is read once
-    soft = found.where("__soft is not null")
+    # Texts that go on with their rows are scored twice: that costs less than to write them once more.
+    found = scored(rows, text_col, model, reader, drop_text)
+    found = durable(found, "scored") if drop_text else found
+    soft = (found if drop_text else scored(rows.select(*keys, text_col), text_col, model, reader, drop_text=True)).where("__soft is not null")
     sums = [F.sum(F.get("__soft", F.lit(i))).alias(f"s{i}") for i in many]
     again = [F.sum(f"s{i}").alias(f"s{i}") for i in many]
     base = durable(soft.groupBy("__declared", "__suffix", "__host").agg(*sums), "evidence")
