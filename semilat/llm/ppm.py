@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from .common import durable, forget, map_batches, texts
 
 ORDER, HOT, LONGEST_HOT = 6, 1 << 18, 40
-LOW, HOT_PAIRS = 3, 1 << 21
+LOW, HOT_PAIRS = 3, 1 << 20
 #: The end of a text, as a symbol and as a token: a byte that UTF-8 never holds, so that all bytes and it are SYMBOLS.
 END = b"\xff"
 SYMBOLS = 256
@@ -274,7 +274,7 @@ class Costs:
                 own = slot[at] == self.keys[todo]
                 cost[at[own]] = self.costs[todo[own]]
                 todo, at = todo[~own], (at[~own] + 1) & ((1 << self.bits) - 1)
-            self.table = slot, cost
+            self.table, self.keys, self.costs = (slot, cost), None, None
         return self.table
 
     def find(self, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -326,6 +326,7 @@ def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fold
                 cost += add(doc, own)
                 rare_keys.append(key[~hit])
                 rare_n += np.bincount(doc[~hit], minlength=n)
+            pa.default_memory_pool().release_unused()
             word, row = words_of(part.column("text"))
             word, row = pa.concat_arrays([word, pa.array([END] * n, pa.binary())]), np.append(row, np.arange(n))
             order_ = np.argsort(row, kind="stable")
