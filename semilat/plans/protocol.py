@@ -117,6 +117,50 @@ def codec_gset(spark, sf_dir):
     return rows.select("obj", payloads.encoder("g-set")("r").alias("p")).select("obj", F.size(payloads.decoder("g-set")("p")["records"]).cast("long").alias("n"))
 
 
+def through(kind, rows, key):
+    """rows(key, r) of records, encoded as one payload a key and decoded again: (key, r)."""
+    coded = rows.groupBy(key).agg(F.collect_list("r").alias("r")).select(key, payloads.encoder(kind)("r").alias("p"))
+    return coded.select(key, F.explode(payloads.decoder(kind)("p")["records"]).alias("r"))
+
+
+@query("""select elem, case when op % 7 = 0 then 1 else 0 end as section, case when op % 7 <> 0 then obj end obj, ms wall, ctr logical, replica from ops""")
+def codec_or_set(spark, sf_dir):
+    """Each user's set of events: live tags by element, and removed ones."""
+    named, gone = F.struct(F.col("ms").alias("wall"), F.col("ctr").alias("logical"), "replica"), F.col("op") % 7 == 0
+    rec = F.when(gone, payloads.record(1, tag=named)).otherwise(payloads.record(key=F.col("obj").cast("binary"), tag=named))
+    rows = through("or-set", ops(spark, sf_dir).select("elem", rec.alias("r")), "elem")
+    return rows.select("elem", "r.section", F.col("r.key").cast("string").alias("obj"), "r.tag.wall", "r.tag.logical", "r.tag.replica")
+
+
+@query("""select op // 8 reg, 0 as section, replica, max(ctr) ctr, null::bigint v from ops group by all
+union all select op // 8, 1, replica, ctr, amt from ops where op % 3 = 0""")
+def codec_mv_register(spark, sf_dir):
+    """Registers that eight operations wrote: the context they saw, and the values that stay."""
+    log_ = ops(spark, sf_dir).select(F.expr("op div 8").alias("reg"), "op", "replica", "ctr", "amt")
+    name = F.col("replica").cast("binary")
+    seen = log_.groupBy("reg", "replica").agg(F.max("ctr").alias("ctr")).select("reg", payloads.record(key=name, number=F.col("ctr")).alias("r"))
+    held = log_.where("op % 3 = 0").select("reg", payloads.record(1, key=name, number=F.col("ctr"), value=F.col("amt").cast("string").cast("binary")).alias("r"))
+    rows = through("mv-register", seen.unionByName(held), "reg")
+    return rows.select("reg", "r.section", F.col("r.key").cast("string").alias("replica"), F.col("r.number").alias("ctr"), F.col("r.value").cast("string").cast("long").alias("v"))
+
+
+@query(f"""with {NODES}, n as (select * from nodes where role is not null)
+select conv_id, 0 as section, id, role, parent, null::bigint stamp, null::bigint "rank" from n
+union all select conv_id, 1, id, role, null, null, null from n where id % 5 = 2
+union all select conv_id, 2, id, role, parent, id + 1, id * 10 from n where id % 3 = 1""", with_ops=False)
+def codec_move_list(spark, sf_dir):
+    """Lists whose nodes are removed and moved: nodes, tombstones and the last move of a node."""
+    before = F.lag("turn").over(Window.partitionBy("conv_id", "role").orderBy("turn"))
+    rows = table(spark, sf_dir, "conversations").select("conv_id", F.col("turn").cast("long").alias("turn"), "role", before.alias("parent")).where("role is not null")
+    named = lambda n, wall=1: F.struct(F.lit(wall).cast("long").alias("wall"), F.col(n).cast("long").alias("logical"), F.col("role").alias("replica"))
+    parent = F.when(F.col("parent").isNotNull(), named("parent"))
+    node, gone = payloads.record(tag=named("turn"), parent=parent, value=F.col("role").cast("binary")), payloads.record(1, tag=named("turn"))
+    move = payloads.record(2, tag=named("turn"), stamp=named("next", 2), parent=parent, number=F.col("turn") * 10)
+    records = F.array_compact(F.array(node, F.when(F.col("turn") % 5 == 2, gone), F.when(F.col("turn") % 3 == 1, move)))
+    found = through("move-list", rows.withColumn("next", F.col("turn") + 1).select("conv_id", F.explode(records).alias("r")), "conv_id")
+    return found.select("conv_id", "r.section", F.col("r.tag.logical").alias("id"), F.col("r.tag.replica").alias("role"), F.col("r.parent.logical").alias("parent"), F.col("r.stamp.logical").alias("stamp"), F.col("r.number").alias("rank"))
+
+
 @query("select op, case when op % 4 = 1 then null else amt end v, op % 4 = 1 failed from ops where op % 3 = 0")
 def element_codec_guard(spark, sf_dir):
     stored = ops(spark, sf_dir).where("op % 3 = 0").select("op", F.concat(F.when(F.col("op") % 4 == 1, "x").otherwise(""), F.col("amt").cast("string")).cast("binary").alias("element"))
